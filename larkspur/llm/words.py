@@ -104,3 +104,40 @@ def sums(table: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         for c in range(table.shape[1]):
             out[some, c] = np.add.reduceat(table[flat, c], starts)
     return out
+
+
+class TypeTable:
+    """Values per word type, computed when a type first comes and kept for later texts, up to a number of types."""
+
+    def __init__(self, compute, width: int, most: int = 250_000):
+        self.compute, self.width, self.most = compute, width, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.types, self.values, self.known = Types(), np.zeros((1024, self.width), np.float32), 0
+
+    def groups(self, texts: list[str | None], words: int = 200_000):
+        """(first text, last text + 1, type numbers of their words end to end, words per text), of bounded size."""
+        lo, ids, total = 0, [], 0
+        for i, text in enumerate(texts):
+            ids.append(self.types.ids(text))
+            total += len(ids[-1])
+            if total >= words or i == len(texts) - 1:
+                self._learn()
+                yield lo, i + 1, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+                if len(self.types) > self.most:
+                    self.clear()
+                lo, ids, total = i + 1, [], 0
+
+    def _learn(self) -> None:
+        n = len(self.types)
+        if n > len(self.values):
+            grown = np.zeros((max(n, 2 * len(self.values)), self.width), np.float32)
+            grown[: self.known] = self.values[: self.known]
+            self.values = grown
+        if n > self.known:
+            new = list(self.types)[self.known :] if self.known else list(self.types)
+            for k in range(0, len(new), 50_000):
+                part = new[k : k + 50_000]
+                self.values[self.known : self.known + len(part)] = self.compute(part)
+                self.known += len(part)
