@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, langid, mixing
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
 }
