@@ -80,10 +80,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Of docs one row for each row (_id, _key) of keep: the doc_id and common.text_key of the row to keep."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), common.text_key("text").alias("_key"))
-    on = rows["_id"].eqNullSafe(keep["_id"]) & rows["_key"].eqNullSafe(keep["_key"])
-    return rows.join(keep, on, "left_semi").dropDuplicates(["_id", "_key"]).select("row.*")
+    """Of docs one row for each row (_id, _key) of keep: the doc_id and common.text_key of the row to keep.
+
+    Rows meet by one number, so the texts cross the network once, also for dropping repeats.
+    """
+    number = lambda i, k: F.xxhash64(F.isnull(i), i, k).alias("_row")
+    rows = docs.select(F.struct("*").alias("row"), number(F.col("doc_id"), common.text_key("text")))
+    wanted = keep.select(number(F.col("_id"), F.col("_key")))
+    return rows.join(wanted.hint("shuffle_merge"), "_row", "left_semi").dropDuplicates(["_row"]).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

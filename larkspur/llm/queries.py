@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing
+import corpus_pipeline
+
+from . import exact_dedup, langid, lz, minhash, mixing, packing
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
     "op6_mixing": mixing.op6_mixing,
+    "op8_minhash_dedup": minhash.op8_minhash_dedup,
+    "op10_lz_fingerprint": lz.op10_lz_fingerprint,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op6_mixing": mixing.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

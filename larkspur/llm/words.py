@@ -109,12 +109,12 @@ def sums(table: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class TypeTable:
     """Values per word type, computed when a type first comes and kept for later texts, up to a number of types."""
 
-    def __init__(self, compute, width: int, most: int = 250_000):
-        self.compute, self.width, self.most = compute, width, most
+    def __init__(self, compute, width: int, most: int = 250_000, kind=np.float32):
+        self.compute, self.width, self.most, self.kind = compute, width, most, kind
         self.clear()
 
     def clear(self) -> None:
-        self.types, self.values, self.known = Types(), np.zeros((1024, self.width), np.float32), 0
+        self.types, self.values, self.known = Types(), np.zeros((1024, self.width), self.kind), 0
 
     def groups(self, texts: list[str | None], words: int = 200_000):
         """(first text, last text + 1, type numbers of their words end to end, words per text), of bounded size."""
@@ -132,7 +132,7 @@ class TypeTable:
     def _learn(self) -> None:
         n = len(self.types)
         if n > len(self.values):
-            grown = np.zeros((max(n, 2 * len(self.values)), self.width), np.float32)
+            grown = np.zeros((max(n, 2 * len(self.values)), self.width), self.kind)
             grown[: self.known] = self.values[: self.known]
             self.values = grown
         if n > self.known:
