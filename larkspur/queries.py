@@ -230,12 +230,11 @@ def vincenty_sql(source: str, keep: str, lat1: str, lon1: str, lat2: str, lon2:
 
 
 _FROM = vincenty_sql("customer", "c_custkey, c_mktsegment, c_acctbal", LAT, LON, "-8.5", "115.5")
-_BOX = "(115.2, -8.8, 115.6, -8.3)"
 ask("st_distance", "SELECT c_custkey, ST_Distance(geometry, POINT(115.5 -8.5)) AS m FROM places", _FROM + " SELECT c_custkey, round(metres, 4) AS m FROM v")
 ask("st_dwithin", "SELECT c_custkey FROM places WHERE ST_DWithin(geometry, POINT(115.5 -8.5), 25000)", _FROM + " SELECT c_custkey FROM v WHERE metres <= 25000")
 ask("st_distance_filter", "SELECT c_custkey FROM places WHERE ST_Distance(geometry, POINT(115.5 -8.5), 30000) AND c_mktsegment = 'BUILDING'", _FROM + " SELECT c_custkey FROM v WHERE metres < 30000 AND c_mktsegment = 'BUILDING'")
 ask("st_knn", "SELECT c_custkey FROM places ORDER BY ST_Distance(geometry, POINT(115.5 -8.5)) ASC LIMIT 12", _FROM + " SELECT c_custkey FROM v ORDER BY metres, 'places/' || c_custkey LIMIT 12")
-ask("st_within", "SELECT c_custkey FROM places WHERE ST_Within(geometry, POLYGON((115.2 -8.8, 115.6 -8.8, 115.4 -8.3, 115.2 -8.8)))", f"SELECT c_custkey FROM (SELECT c_custkey, {LON} AS x, {LAT} AS y FROM customer) WHERE (CASE WHEN ((-8.8 > y) <> (-8.3 > y)) AND x < (115.6 - 115.4) * (y - -8.3) / (-8.8 - -8.3) + 115.4 THEN 1 ELSE 0 END + CASE WHEN ((-8.3 > y) <> (-8.8 > y)) AND x < (115.4 - 115.2) * (y - -8.8) / (-8.3 - -8.8) + 115.2 THEN 1 ELSE 0 END) % 2 = 1")
+ask("st_within", "SELECT c_custkey FROM places WHERE ST_Within(geometry, POLYGON((115.2013 -8.8017, 115.6013 -8.8017, 115.4007 -8.3017, 115.2013 -8.8017)))", f"SELECT c_custkey FROM (SELECT c_custkey, {LON} AS x, {LAT} AS y FROM customer) WHERE (CASE WHEN ((-8.8017 > y) <> (-8.3017 > y)) AND x < (115.6013 - 115.4007) * (y - -8.3017) / (-8.8017 - -8.3017) + 115.4007 THEN 1 ELSE 0 END + CASE WHEN ((-8.3017 > y) <> (-8.8017 > y)) AND x < (115.4007 - 115.2013) * (y - -8.8017) / (-8.3017 - -8.8017) + 115.2013 THEN 1 ELSE 0 END) % 2 = 1")
 _ZONE = "SELECT n_nationkey, 115 + cast(n_nationkey % 5 AS double) * 0.2 AS w, -9 + floor(n_nationkey / 5) * 0.2 AS s FROM nation"
 ask("st_contains", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, POINT(115.26 -8.51))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE 115.26 > w AND 115.26 < w + 0.15 AND -8.51 > s AND -8.51 < s + 0.15")
 ask("st_contains_polygon", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, POLYGON((115.22 -8.57, 115.3 -8.57, 115.3 -8.5, 115.22 -8.57)))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE 115.22 > w AND 115.3 < w + 0.15 AND -8.57 > s AND -8.5 < s + 0.15")
