@@ -7,8 +7,9 @@ run holds suffixes of two distinct pages, those tokens are repeated across pages
 MIN_RUN tokens or more is covered by such suffixes, so marking MIN_RUN tokens from each finds exactly all
 of them. Covered tokens are boilerplate and go; the runs between them stay.
 
-A host of more than HOST_TOKENS tokens, too many for one task, has its suffixes dealt over tasks by a hash of their
-first MIN_RUN tokens instead of sorted in one array: equal suffixes still meet, and the result is the same.
+A task needs about 30 bytes for each token of its host. A host of more than HOST_CHARS characters of html, too many
+for one task, has its suffixes dealt over tasks by a hash of their first MIN_RUN tokens instead of sorted in one
+array: equal suffixes still meet, and the result is the same, but each suffix crosses the network.
 
 Defined results: pages of one host with equal token streams are one page, so a copy doesn't empty its original, and
 repeated rows all get the same text. NULL and empty html have the text ''. A NULL or broken url belongs to
@@ -30,7 +31,7 @@ from . import common
 from .words import Types, word_hash
 
 MIN_RUN = 8
-HOST_TOKENS = 4_000_000
+HOST_CHARS = 200_000_000
 SCHEMA = "page_id bigint, host string, text string, n_tokens int, n_removed int"
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -47,6 +48,10 @@ def visible(html: str | None) -> str:
     return " ".join(unescape(bare).split())
 
 
+def _host():
+    return F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
+
+
 def _pages(pages: DataFrame) -> DataFrame:
     """(page_id, host, text, n, content): content is a hash of the text."""
 
@@ -54,47 +59,51 @@ def _pages(pages: DataFrame) -> DataFrame:
         texts = [visible(h) for h in batch.column("html").to_pylist()]
         return {"page_id": batch.column("page_id"), "host": batch.column("host"), "text": texts, "n": [t.count(" ") + 1 if t else 0 for t in texts], "content": [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]}
 
-    slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("host"), "html")
+    slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _host().alias("host"), "html")
     return common.map_arrow(slim, run, "page_id bigint, host string, text string, n int, content bigint")
 
 
-def ranks(ids: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of each suffix among the distinct prefixes of `depth` tokens (prefix doubling)."""
-    known, rank = {1: np.unique(ids, return_inverse=True)[1].astype(np.int64)}, None
+def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first `depth` tokens, and where in it each distinct prefix starts.
+
+    Prefix doubling: the rank by k tokens of a suffix and of the one k tokens on give its rank by 2k.
+    """
+    n = len(ids)
 
-    def of(k: int) -> np.ndarray:
-        if k not in known:
-            a = k - k // 2
-            left, right = of(a), of(k // 2)
-            after = np.zeros(len(ids), np.int64)
-            after[: len(ids) - a] = right[a:] + 1
-            known[k] = np.unique(left * (len(ids) + 1) + after, return_inverse=True)[1].astype(np.int64)
-        return known[k]
+    def arranged(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k == 1:
+            key = ids.astype(np.int64)
+        else:
+            half = (k + 1) // 2
+            order, first = arranged(half)
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(first, dtype=np.int32)
+            key = rank.astype(np.int64)
+            key *= n + 1
+            key[: n - k + half] += rank[k - half :]
+        order = np.argsort(key)
+        key = key[order]
+        return order, np.append(True, key[1:] != key[:-1])
 
-    rank = of(depth)
-    return rank
+    order, first = arranged(depth)
+    return order, np.flatnonzero(first)
 
 
 def covered(streams: list[np.ndarray], min_run: int) -> list[np.ndarray]:
     """Of each page's token numbers, which are in a run of min_run tokens or more that another page has too."""
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-    out = [np.zeros(n, bool) for n in sizes]
-    if len(streams) < 2:
-        return out
-    top = max((int(s.max()) for s in streams if len(s)), default=0) + 1
-    ids = np.concatenate([np.append(s, top + i) for i, s in enumerate(streams)])
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
+    if len(streams) < 2 or not sizes.any():
+        return [np.zeros(n, bool) for n in sizes]
+    top = max(int(s.max()) for s in streams if len(s)) + 1
+    ids = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([top + i], s.dtype))]).astype(np.int32)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    rank = ranks(ids, min_run)
-    order = np.argsort(rank, kind="stable")
-    by, pages = rank[order], page[order]
-    start = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+    order, start = suffix_array(ids, min_run)
+    pages = np.repeat(np.arange(len(streams), dtype=np.int32), sizes + 1)[order]
     shared = np.minimum.reduceat(pages, start) != np.maximum.reduceat(pages, start)
-    hits = order[np.repeat(shared, np.diff(np.append(start, len(by))))]
-    ends = np.zeros(len(ids) + min_run + 1, np.int64)
-    np.add.at(ends, hits, 1)
-    np.add.at(ends, hits + min_run, -1)
-    marked = np.cumsum(ends)[: len(ids)] > 0
+    hits = order[np.repeat(shared, np.diff(np.append(start, len(order))))]
+    marked = np.zeros(len(ids) + min_run, bool)
+    for j in range(min_run):
+        marked[hits + j] = True
     return [marked[b : b + n] for b, n in zip(begin, sizes)]
 
 
@@ -154,15 +163,15 @@ def _by_prefix(rows: DataFrame, min_run: int) -> DataFrame:
     return common.map_arrow(rows.join(hits, ["host", "content"], "left"), cut, SCHEMA)
 
 
-def extracted(pages: DataFrame, min_run: int = MIN_RUN, host_tokens: int = HOST_TOKENS) -> DataFrame:
+def extracted(pages: DataFrame, min_run: int = MIN_RUN, host_chars: int = HOST_CHARS) -> DataFrame:
     """(page_id, host, text, n_tokens, n_removed) of each page; text is what is left, n_tokens counts before."""
-    rows = common.written(_pages(pages), "pages")
-    large = rows.groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > host_tokens).select("host")
-    large = common.written(large, "hosts")
+    pages = pages.withColumn("_host", _host())
+    sizes = pages.groupBy("_host").agg(F.sum(F.length("html")).alias("n")).filter(F.col("n") > host_chars)
+    large = common.written(sizes.select("_host"), "hosts")
     if not large.count():
-        return _by_host(rows, min_run)
-    small = _by_host(rows.join(large, "host", "left_anti"), min_run)
-    return small.unionByName(_by_prefix(rows.join(large, "host", "left_semi"), min_run))
+        return _by_host(_pages(pages), min_run)
+    small = _by_host(_pages(pages.join(large, "_host", "left_anti")), min_run)
+    return small.unionByName(_by_prefix(common.written(_pages(pages.join(large, "_host", "left_semi")), "pages"), min_run))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
