@@ -181,11 +181,12 @@ class Engine:
         p.need_word("SHOW")
         rows = lambda data, schema: self.spark.createDataFrame(data, schema)
         if p.word("TABLES"):
-            return rows([(n,) for n in self.collection_names()], "name string")
+            return self._counted([((n,), self.catalog.collections[n].df) for n in self.collection_names()], ["name"])
         if p.word("EDGES"):
             a = p.name() if p.word("FROM") else None
             b = p.name() if p.word("TO") else None
-            return rows([e for e in self.edge_schema() if a in (None, e[0]) and b in (None, e[2])], "`from` string, type string, `to` string")
+            parts = [((q.source, t, q.target), q.df) for t, found in sorted(self.catalog.edges.items()) for q in found if a in (None, q.source) and b in (None, q.target)]
+            return self._counted(parts, ["from", "type", "to"])
         if p.word("CREATE"):
             p.word("TABLE")
             return rows([(self.schema_ddl(p.table()),)], "ddl string")
@@ -194,6 +195,21 @@ class Engine:
         p.word("TABLE")
         return rows(self.table_schema(p.table()), "column string, type string")
 
+    def _counted(self, named: list[tuple[tuple, DataFrame]], columns: list[str]) -> DataFrame:
+        """Names with how many rows each frame has."""
+        out = None
+        for names, df in named:
+            row = df.agg(F.count("*").alias("count")).select(*[F.lit(n).alias(c) for c, n in zip(columns, names)], "count")
+            out = row if out is None else out.unionByName(row)
+        return out if out is not None else self.spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", count bigint")
+
+    @property
+    def frames(self):
+        """pandas in and out."""
+        from .sources.frames import Frames
+
+        return Frames(self)
+
     # rows and edges by slug
     def put(self, key: str, record: dict | str) -> None:
         self.put_many([(key, record)])

@@ -255,8 +255,12 @@ class Match:
 
     def walks(self, edges: DataFrame, h: Hop, at: str) -> DataFrame:
         """The frame moved along lo to hi edges: a row per walk, or merged as the mode allows."""
-        slim = edges.drop(*[c for c in edges.columns if c.startswith("e·")])
+        along = {c: k for c, k in self.edge_kinds.items()} if h.var and self.mode == "rows" else {}
+        slim = edges.drop(*[c for c in edges.columns if c.startswith("e·") and c[2:] not in along])
         frontier = self.df.withColumn("_at", F.col(f"`{at}`"))
+        for c, k in along.items():  # an edge variable of many hops has an array of each attribute, in walking order
+            frontier = frontier.withColumn(col_name(h.var, c), F.array().cast(f"array<{k}>"))
+            self.scope.columns[(h.var, c)] = (col_name(h.var, c), f"array<{k}>")
         both = h.direction == "both"
         if self.mode != "rows":  # merging needs no columns but those still to be used
             used = {self.scope.columns[(v, f)][0] for v, f in self.scope.columns if f in self.needs.of(v) or "*" in self.needs.of(v)} | {c for v in self.later for c in [self.bound.get(v)] if c}
@@ -272,7 +276,8 @@ class Match:
             step = here.join(slim.withColumnsRenamed({"src": "_from", "dst": "_at"}), "_from")
             if both:
                 step = step.filter(~F.col("_at").eqNullSafe(F.col("_came"))).withColumn("_came", F.col("_from"))
-            step = self.remember(step, F.col("_from")).drop("_from", "_type", "_attrs", "_forward")
+            step = step.withColumns({col_name(h.var, c): F.array_append(F.col(f"`{col_name(h.var, c)}`"), F.col(f"`e·{c}`")) for c in along}) if along else step
+            step = self.remember(step, F.col("_from")).drop("_from", "_type", "_attrs", "_forward", *[f"e·{c}" for c in along])
             frontier = self.merged(step).select(frontier.columns)
             if h.hi > graph.LAZY_LEVELS:
                 frontier = written(frontier, "walks")

@@ -415,6 +415,14 @@ class Mutation:
             while p.sign(","):
                 columns.append(self.column(p))
             p.need(")")
+            if p.word("WITH"):  # indexes along with the table: WITH (hash_index = [a, b], ...)
+                p.need("(")
+                while not p.sign(")"):
+                    method = {"range": "btree", "vector": "hnsw", "fulltext": "bm25"}.get(kind := p.name().removesuffix("_index"), kind)
+                    p.need("=")
+                    for field in p.literal()[1]:
+                        self.catalog.indexes[f"{name}_{field[1][-1]}_{method}"] = (name, method, (field[1][-1],))
+                    p.sign(",")
             p.end()
             self.catalog.collections[name] = Collection(self.empty(columns), columns)
         elif p.word("MATERIALIZED", "VIEW") or p.word("VIEW"):

@@ -95,6 +95,7 @@ ask("match_varlen", "SELECT a._key AS a, b._key AS b FROM MATCH (a:nation)-[:lea
 ask("match_varlen_count", "SELECT b._key AS b, COUNT(*) AS n FROM MATCH (a:nation)-[:leads|trades]->{2,5}(b:nation) GROUP BY b._key", _WALKS.format(5) + " SELECT cast(b AS varchar) AS b, count(*) AS n FROM w WHERE k >= 2 GROUP BY 1")
 ask("match_varlen_distinct", "SELECT DISTINCT b._key AS b FROM MATCH (a:nation)-[:trades*1..4]->(b:nation) WHERE a._key = '3'", f"WITH RECURSIVE {_LEADS}, w AS (SELECT 3 AS b, 0 AS k UNION ALL SELECT d, k + 1 FROM w JOIN t ON s = b WHERE k < 4) SELECT DISTINCT cast(b AS varchar) AS b FROM w WHERE k >= 1")
 ask("match_path", "SELECT b._key AS b, length(p) AS hops, nodes(p) AS via FROM MATCH p = (a:nation)-[:leads*1..3]->(b:nation) WHERE a._key = '5'", f"WITH RECURSIVE {_LEADS}, w AS (SELECT 5 AS b, 0 AS k, ['nation/5'] AS via UNION ALL SELECT d, k + 1, list_append(via, 'nation/' || d) FROM w JOIN e ON s = b WHERE k < 3) SELECT cast(b AS varchar) AS b, k AS hops, via FROM w WHERE k >= 1")
+ask("match_path_product", "SELECT b._key AS b, PATH_PRODUCT(r.w) AS product, PATH_SUM(r.w) AS total, PATH_LAST(r.w) AS last FROM MATCH (a:nation)-[r:trades*1..3]->(b:nation)", "WITH RECURSIVE t AS (SELECT n_nationkey AS s, (n_nationkey + 7) % 25 AS d, cast(n_nationkey % 4 AS double) AS w FROM nation), x AS (SELECT n_nationkey AS b, 0 AS k, cast(1 AS double) AS product, cast(0 AS double) AS total, cast(0 AS double) AS last FROM nation UNION ALL SELECT d, k + 1, product * w, total + w, w FROM x JOIN t ON s = b WHERE k < 3) SELECT cast(b AS varchar) AS b, product, total, last FROM x WHERE k >= 1")
 ask("match_union", "SELECT b._key AS k FROM MATCH (a:nation)-[:leads]->(b:nation) WHERE a.n_regionkey = 1 UNION SELECT b._key AS k FROM MATCH (a:nation)-[:trades]->(b:nation) WHERE a.n_regionkey = 2", "SELECT cast((n_nationkey * 3 + 1) % 25 AS varchar) AS k FROM nation WHERE n_regionkey = 1 UNION SELECT cast((n_nationkey + 7) % 25 AS varchar) FROM nation WHERE n_regionkey = 2")
 ask("match_with", "SELECT n.n_name AS nation, t AS spent FROM MATCH (c:customer)-[:placed]->(o:orders) WITH c, SUM(o.o_totalprice) AS t MATCH (c)-[:in_nation]->(n:nation) WHERE t > 2000000", "SELECT n_name AS nation, round(t, 4) AS spent FROM (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE t > 2000000")
 ask("match_with_alias_join", "SELECT c.c_name AS name, seg AS seg FROM MATCH (n:nation)<-[:in_nation]-(x:customer) WHERE n._key = '4' WITH n.n_nationkey AS nk, MAX(x.c_custkey) AS seg MATCH (c:customer WHERE c_custkey = seg)", "SELECT c_name AS name, m AS seg FROM (SELECT max(c_custkey) AS m FROM customer WHERE c_nationkey = 4) JOIN customer ON c_custkey = m")
@@ -261,11 +262,16 @@ def _(e: Engine) -> DataFrame:
     return e.edges_between("customer", "orders").select(F.col("from").alias("a"), F.col("to").alias("b"))
 
 
-@call("show_edges", "SELECT * FROM (VALUES ('customer', 'in_nation', 'nation'), ('customer', 'placed', 'orders')) t(\"from\", type, \"to\")")
+@call("show_edges", "SELECT 'customer' AS \"from\", 'in_nation' AS type, 'nation' AS \"to\", (SELECT count(*) FROM customer) AS count UNION ALL SELECT 'customer', 'placed', 'orders', (SELECT count(*) FROM orders)")
 def _(e: Engine) -> DataFrame:
     return e.sql("SHOW EDGES FROM customer")
 
 
+@call("show_tables", "SELECT 'nation' AS name, count(*) AS count FROM nation")
+def _(e: Engine) -> DataFrame:
+    return e.sql("SHOW TABLES").filter("name = 'nation'")
+
+
 @call("mutations", "SELECT n_name AS name, n_nationkey AS n FROM nation WHERE n_regionkey <> 3 AND n_nationkey <> 5 UNION ALL SELECT 'changed', n_nationkey FROM nation WHERE n_nationkey = 5 AND n_regionkey <> 3 UNION ALL SELECT 'new', 99")
 def _(e: Engine) -> DataFrame:
     e.execute("BEGIN")
