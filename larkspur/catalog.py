@@ -7,6 +7,7 @@ copy of the catalog is a snapshot and a transaction.
 from __future__ import annotations
 
 import copy
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,27 +31,40 @@ class ColumnDef:
 TYPES = {"TEXT": "string", "INTEGER": "bigint", "REAL": "double", "BOOL": "boolean", "BOOLEAN": "boolean", "TIMESTAMPTZ": "string", "GEO": "string", "VECTOR": "array<float>", "JSON": "string"}
 
 
-@dataclass
-class Collection:
+class Frame:
+    """Something with a DataFrame, which may be given as a function that makes it when it is first needed."""
+
+    def __init__(self, df: DataFrame | Callable[[], DataFrame]):
+        self._df = df
+
+    @property
+    def df(self) -> DataFrame:
+        if not isinstance(self._df, DataFrame):
+            self._df = self._df()
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
+
+
+class Collection(Frame):
     """df has _key and the fields; columns is the declared schema, if there is one; body is a view's text."""
 
-    df: DataFrame
-    columns: list[ColumnDef] | None = None
-    body: str | None = None
-    auto_index: bool = False
+    def __init__(self, df, columns: list[ColumnDef] | None = None, body: str | None = None, auto_index: bool = False):
+        super().__init__(df)
+        self.columns, self.body, self.auto_index = columns, body, auto_index
 
 
-@dataclass
-class EdgePart:
+class EdgePart(Frame):
     """Edges of one type between two collections: _src and _dst are keys, the other columns attributes.
 
     sound: both ends are known to exist, as after a foreign key, so joins to prove it can be left out.
     """
 
-    source: str
-    target: str
-    df: DataFrame
-    sound: bool = False
+    def __init__(self, source: str, target: str, df, sound: bool = False):
+        super().__init__(df)
+        self.source, self.target, self.sound = source, target, sound
 
 
 @dataclass
@@ -94,6 +108,19 @@ class Catalog:
         found = [(t, p) for t in names for p in self.edges.get(t, [])]
         return [(t, p) for t, p in found if (source is None or p.source in source) and (target is None or p.target in target)]
 
+    def between(self, start: str, goal: str) -> list[tuple[str, EdgePart]]:
+        """The edges that a walk from one collection to another can use, by the collections they join."""
+        parts = self.parts(None)
+
+        def reached(first: str, a: str, b: str) -> set[str]:
+            found = {first}
+            while more := {getattr(p, b) for _, p in parts if getattr(p, a) in found} - found:
+                found |= more
+            return found
+
+        ahead, behind = reached(start, "source", "target"), reached(goal, "target", "source")
+        return [(t, p) for t, p in parts if p.source in ahead and p.target in behind]
+
     def search_fields(self, name: str) -> list[str]:
         for coll, method, fields in self.indexes.values():
             if coll == name and method == "search":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,28 +16,29 @@ LON, LAT = "(115 + (c_custkey * 37 % 1000) / 1000.0)", "(-8 - (c_custkey * 61 %
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """Only footers are read here; what a query doesn't use isn't scanned."""
+    """Nothing is read here: a table's footer is when a query first names it."""
     e = Engine(spark)
-    t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in KEYS}
+    read = lru_cache(None)(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     for name, key in KEYS.items():
-        e.register(name, t[name], key)
-    lon = F.expr("115 + cast(c_custkey * 37 % 1000 as double) / 1000")
-    lat = F.expr("-8 - cast(c_custkey * 61 % 1000 as double) / 1000")
-    e.register("places", t["customer"].select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", point_json(lon, lat).alias("geometry")), "c_custkey")
-    square = F.expr("""concat('{"type":"Polygon","coordinates":[[[', w, ',', s, '],[', w + 0.15, ',', s, '],[', w + 0.15, ',', s + 0.15, '],[', w, ',', s + 0.15, '],[', w, ',', s, ']]]}')""")
-    corner = t["nation"].withColumns({"w": F.expr("115 + cast(n_nationkey % 5 as double) * 0.2"), "s": F.expr("-9 + cast(floor(n_nationkey / 5) as double) * 0.2")})
-    e.register("zones", corner.select("n_nationkey", "n_name", square.alias("geometry")), "n_nationkey")
-    line = F.expr("""concat('{"type":"LineString","coordinates":[[', 115 + k, ',-8.5],[', 115 + k, ',', -8.5 + k, '],[115,', -8.5 + k, ']]}')""")
-    e.register("routes", t["supplier"].withColumn("k", F.expr("cast(s_suppkey % 100 as double) / 100")).select("s_suppkey", line.alias("geometry")), "s_suppkey")
-    item = t["lineitem"]
-    e.register_edges("placed", "customer", "orders", t["orders"].select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", sound=True)
-    e.register_edges("contains", "orders", "part", item.select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("flag")), "l_orderkey", "l_partkey", sound=True)
-    e.register_edges("supplied_by", "part", "supplier", item.select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey", sound=True)
-    e.register_edges("in_nation", "customer", "nation", t["customer"].select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", sound=True)
-    e.register_edges("in_nation", "supplier", "nation", t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey", "s_nationkey", sound=True)
-    e.register_edges("in_region", "nation", "region", t["nation"].select("n_nationkey", "n_regionkey"), "n_nationkey", "n_regionkey", sound=True)
+        e.register(name, lambda name=name: read(name), key)
+    lon = "115 + cast(c_custkey * 37 % 1000 as double) / 1000"
+    lat = "-8 - cast(c_custkey * 61 % 1000 as double) / 1000"
+    e.register("places", lambda: read("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", point_json(F.expr(lon), F.expr(lat)).alias("geometry")), "c_custkey")
+    square = """concat('{"type":"Polygon","coordinates":[[[', w, ',', s, '],[', w + 0.15, ',', s, '],[', w + 0.15, ',', s + 0.15, '],[', w, ',', s + 0.15, '],[', w, ',', s, ']]]}')"""
+    corner = {"w": "115 + cast(n_nationkey % 5 as double) * 0.2", "s": "-9 + cast(floor(n_nationkey / 5) as double) * 0.2"}
+    e.register("zones", lambda: read("nation").withColumns({c: F.expr(x) for c, x in corner.items()}).select("n_nationkey", "n_name", F.expr(square).alias("geometry")), "n_nationkey")
+    line = """concat('{"type":"LineString","coordinates":[[', 115 + k, ',-8.5],[', 115 + k, ',', -8.5 + k, '],[115,', -8.5 + k, ']]}')"""
+    e.register("routes", lambda: read("supplier").withColumn("k", F.expr("cast(s_suppkey % 100 as double) / 100")).select("s_suppkey", F.expr(line).alias("geometry")), "s_suppkey")
+    item = {"l_quantity": "quantity", "l_extendedprice": "price", "l_discount": "discount", "l_returnflag": "flag"}
+    edge = lambda kind, a, b, table, src, dst, *more: e.register_edges(kind, a, b, lambda: read(table).select(src, dst, *more), src, dst, sound=True)
+    edge("placed", "customer", "orders", "orders", "o_custkey", "o_orderkey")
+    e.register_edges("contains", "orders", "part", lambda: read("lineitem").select("l_orderkey", "l_partkey", *[F.col(c).alias(n) for c, n in item.items()]), "l_orderkey", "l_partkey", sound=True)
+    e.register_edges("supplied_by", "part", "supplier", lambda: read("lineitem").select("l_partkey", "l_suppkey").distinct(), "l_partkey", "l_suppkey", sound=True)
+    edge("in_nation", "customer", "nation", "customer", "c_custkey", "c_nationkey")
+    edge("in_nation", "supplier", "nation", "supplier", "s_suppkey", "s_nationkey")
+    edge("in_region", "nation", "region", "nation", "n_nationkey", "n_regionkey")
     # a small cyclic graph over nations: k -> (3k + 1) mod 25 and k -> (k + 7) mod 25
-    e.register_edges("leads", "nation", "nation", t["nation"].select("n_nationkey", F.expr("(n_nationkey * 3 + 1) % 25").alias("to")), "n_nationkey", "to", sound=True)
-    e.register_edges("trades", "nation", "nation", t["nation"].select("n_nationkey", F.expr("(n_nationkey + 7) % 25").alias("to"), F.expr("cast(n_nationkey % 4 as double)").alias("w")), "n_nationkey", "to", sound=True)
+    e.register_edges("leads", "nation", "nation", lambda: read("nation").select("n_nationkey", F.expr("(n_nationkey * 3 + 1) % 25").alias("to")), "n_nationkey", "to", sound=True)
+    e.register_edges("trades", "nation", "nation", lambda: read("nation").select("n_nationkey", F.expr("(n_nationkey + 7) % 25").alias("to"), F.expr("cast(n_nationkey % 4 as double)").alias("w")), "n_nationkey", "to", sound=True)
     e.index("documents", "bm25", "text").index("documents", "search", "source", "text").index("part", "bm25", "p_name")
     return e

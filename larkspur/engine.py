@@ -33,22 +33,31 @@ class Engine:
         self._bulk = False
 
     # what is there
-    def register(self, name: str, df: DataFrame, key: str | None = None) -> Engine:
-        """A collection from a DataFrame; key is the column that names its rows."""
-        if key:
-            df = df.withColumn("_key", F.col(f"`{key}`").cast("string"))
-        elif "_key" not in df.columns:
-            raise QueryError("a collection needs _key, or a column to make it from")
-        self.catalog.collections[name] = Collection(df)
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame], key: str | None = None) -> Engine:
+        """A collection from a DataFrame, or a function that gives it when needed; key is the column that names rows."""
+
+        def made() -> DataFrame:
+            got = df if isinstance(df, DataFrame) else df()
+            if key:
+                return got.withColumn("_key", F.col(f"`{key}`").cast("string"))
+            if "_key" not in got.columns:
+                raise QueryError("a collection needs _key, or a column to make it from")
+            return got
+
+        self.catalog.collections[name] = Collection(made() if isinstance(df, DataFrame) else made)
         return self
 
-    def register_edges(self, kind: str, source: str, target: str, df: DataFrame, src: str, dst: str, sound: bool = False) -> Engine:
+    def register_edges(self, kind: str, source: str, target: str, df: DataFrame | Callable[[], DataFrame], src: str, dst: str, sound: bool = False) -> Engine:
         """Edges from a DataFrame: src and dst are columns with keys, all others attributes.
 
         sound promises that both ends exist, as after a foreign key; else joins prove it.
         """
-        ends = df.withColumns({"_src": F.col(f"`{src}`").cast("string"), "_dst": F.col(f"`{dst}`").cast("string")}).drop(*[c for c in (src, dst) if c not in ("_src", "_dst")])
-        self.catalog.edges.setdefault(kind, []).append(EdgePart(source, target, ends, sound))
+
+        def made() -> DataFrame:
+            got = df if isinstance(df, DataFrame) else df()
+            return got.withColumns({"_src": F.col(f"`{src}`").cast("string"), "_dst": F.col(f"`{dst}`").cast("string")}).drop(*[c for c in (src, dst) if c not in ("_src", "_dst")])
+
+        self.catalog.edges.setdefault(kind, []).append(EdgePart(source, target, made() if isinstance(df, DataFrame) else made, sound))
         return self
 
     def index(self, collection: str, method: str, *fields: str) -> Engine:
@@ -282,7 +291,9 @@ class Engine:
 
     def edges(self, types: list[str] | None = None, source: str | None = None, target: str | None = None) -> DataFrame:
         """(from, to, type, attrs) with the attributes as JSON."""
-        parts = self.catalog.parts(types, {source} if source else None, {target} if target else None)
+        return self._edges(self.catalog.parts(types, {source} if source else None, {target} if target else None))
+
+    def _edges(self, parts: list[tuple[str, EdgePart]]) -> DataFrame:
         out = None
         for t, p in parts:
             attrs = [c for c in p.df.columns if c not in ("_src", "_dst")]
@@ -335,7 +346,8 @@ class Engine:
         """(length, nodes, types), or no row."""
         from .operators.graph import shortest_path
 
-        return shortest_path(self.edges().select(F.col("from").alias("src"), F.col("to").alias("dst"), "type"), a, b)
+        edges = self._edges(self.catalog.between(split_slug(a)[0], split_slug(b)[0]))
+        return shortest_path(edges.select(F.col("from").alias("src"), F.col("to").alias("dst"), "type"), a, b)
 
     bfs_shortest_path = shortest_path
 

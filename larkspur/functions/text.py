@@ -16,6 +16,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda t: F.octet_length(t) >= 3)
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once, wherever the expression ends up in the plan.
+
+    A projected column isn't enough: when a filter on the result moves down, Catalyst puts the column's whole
+    expression in each place that names it.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def query_terms(query: str) -> list[str]:
     """The distinct tokens of a query, in order."""
     found = re.findall(r"[^\W_]+", query.lower())
@@ -68,14 +77,18 @@ def _gap(a: Column, b: Column) -> Column:
     return F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.abs(x - y)))))
 
 
-def search_score(fields: list[Column], query: str, known: dict[str, Column] | None = None) -> Column:
+def search_score(fields: list[Column], query: str) -> Column:
     """words * 1e12 + typo * 1e9 + proximity * 1e6 + field order * 1e3 + exactness, of token arrays per field."""
     terms = query_terms(query)
     if not terms:
         return F.lit(0.0)
     empty = F.array().cast("array<string>")
-    fields = [F.coalesce(f, empty) for f in fields]
-    every = F.concat(*fields)
+    given = [F.coalesce(f, empty).alias(f"f{i}") for i, f in enumerate(fields)]
+    bound = lambda s: let(F.concat(*[s[f"f{i}"] for i in range(len(given))]), lambda every: _cascade([s[f"f{i}"] for i in range(len(given))], every, terms))
+    return let(F.struct(*given), bound)
+
+
+def _cascade(fields: list[Column], every: Column, terms: list[str]) -> Column:
     edits, buckets, first = [], [], []
     for term in terms:
         most = auto_edits(term)

@@ -26,10 +26,14 @@ def bm25_scored(df: DataFrame, column: str, query: str, name: str, corpus: DataF
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", t)).alias(f"df{i}") for i, t in enumerate(terms)])
     stats = stats.select(F.struct("*").alias(f"_stats_{name}"))
     s = lambda f: F.col(f"_stats_{name}.{f}")
-    t = F.col(f"_tokens_{name}")
-    score = sum((T.bm25_part(T.term_count(t, term).cast("double"), F.size(t).cast("double"), s("mean"), T.idf(s("n"), s(f"df{i}"))) for i, term in enumerate(terms)), F.lit(0.0))
-    rows = df.crossJoin(F.broadcast(stats)).withColumn(f"_tokens_{name}", F.coalesce(T.tokens(F.col(column)), F.array().cast("array<string>")))
-    return rows.withColumn(name, F.when(F.size(t) > 0, score).otherwise(0.0)).drop(f"_tokens_{name}", f"_stats_{name}")
+
+    def score(t: Column) -> Column:
+        n = F.size(t).cast("double")
+        parts = [T.bm25_part(T.term_count(t, term).cast("double"), n, s("mean"), T.idf(s("n"), s(f"df{i}"))) for i, term in enumerate(terms)]
+        return F.when(F.size(t) > 0, sum(parts[1:], parts[0])).otherwise(0.0)
+
+    rows = df.crossJoin(F.broadcast(stats)).withColumn(name, F.coalesce(T.let(T.tokens(F.col(column)), score), F.lit(0.0)))
+    return rows.drop(f"_stats_{name}")
 
 
 def bm25_search(df: DataFrame, column: str, query: str, k: int, key: str = "_key") -> DataFrame:
@@ -54,14 +58,16 @@ def search_matched(df: DataFrame, columns: list[str], query: str, name: str, typ
     every = lambda: F.flatten(F.array(*[F.coalesce(T.tokens(F.col(c)), F.array().cast("array<string>")) for c in columns]))
     source = corpus if corpus is not None else df
     known = source.select(every().alias("t")).agg(*[F.coalesce(F.bool_or(F.array_contains("t", t)), F.lit(False)).alias(f"k{i}") for i, t in enumerate(terms)]).select(F.struct("*").alias(f"_known_{name}"))
-    t = F.col(f"_tokens_{name}")
-    hit = F.lit(True)
-    for i, term in enumerate(terms):
-        edits = T.auto_edits(term) if typo is None else typo
-        fuzzy = T.matches(t, term, edits) if edits else F.lit(False)
-        hit = hit & F.when(F.col(f"_known_{name}.k{i}"), F.array_contains(t, term)).otherwise(fuzzy)
-    rows = df.crossJoin(F.broadcast(known)).withColumn(f"_tokens_{name}", every())
-    return rows.withColumn(name, hit).drop(f"_tokens_{name}", f"_known_{name}")
+
+    def hit(t: Column) -> Column:
+        test = F.lit(True)
+        for i, term in enumerate(terms):
+            edits = T.auto_edits(term) if typo is None else typo
+            fuzzy = T.matches(t, term, edits) if edits else F.lit(False)
+            test = test & F.when(F.col(f"_known_{name}.k{i}"), F.array_contains(t, term)).otherwise(fuzzy)
+        return test
+
+    return df.crossJoin(F.broadcast(known)).withColumn(name, T.let(every(), hit)).drop(f"_known_{name}")
 
 
 def search_scored(df: DataFrame, columns: list[str], query: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -75,6 +75,10 @@ class Lowering:
     def __init__(self, catalog: Catalog, params: list | None = None):
         self.catalog, self.params, self.made = catalog, params or [], {}
 
+    @property
+    def spark(self):
+        return SparkSession.active()
+
     # values
     def param(self, n: int):
         if not 1 <= n <= len(self.params):

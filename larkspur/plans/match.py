@@ -201,7 +201,7 @@ class Match:
         ranged = h.ranged and (h.lo, h.hi) != (1, 1)
         edges, ends, sound = self.edge_frame(h, None if ranged else source, None if ranged else labels)
         if edges is None:  # no such edges: no rows, but the right columns
-            edges = self.df.sparkSession.createDataFrame([], "src string, dst string" + (", _type string, _attrs string, _forward boolean" if self.paths else ""))
+            edges = self.lw.spark.createDataFrame([], "src string, dst string" + (", _type string, _attrs string, _forward boolean" if self.paths else ""))
             ends = labels or {next(iter(self.lw.catalog.collections))}
         if ranged:
             moved = self.walks(edges, h, at)
@@ -490,10 +490,11 @@ def _shortest(lw: Lowering, s: Select) -> DataFrame:
         raise QueryError("SHORTEST needs the _key of both ends")
     cat = lw.catalog
     full = {n.var: f"{n.label}/{ends[n.var]}" if n.label and "/" not in ends[n.var] else ends[n.var] for n in (a, b)}
-    frames = [part.df.select(slug(part.source, F.col("_src")).alias("src"), slug(part.target, F.col("_dst")).alias("dst"), F.lit(t).alias("type")) for t, part in cat.parts(None)]
-    spark = next(iter(cat.collections.values())).df.sparkSession
+    frames = [part.df.select(slug(part.source, F.col("_src")).alias("src"), slug(part.target, F.col("_dst")).alias("dst"), F.lit(t).alias("type")) for t, part in cat.between(full[a.var].split("/")[0], full[b.var].split("/")[0])]
+    spark = lw.spark
     edges = reduce(lambda x, y: x.unionByName(y), frames) if frames else spark.createDataFrame([], "src string, dst string, type string")
-    every = cat.every()
+    ends_in = sorted({v.split("/")[0] for v in full.values()} & set(cat.collections))
+    every = cat.every(ends_in) if ends_in else cat.every()
     have = every.filter(F.col("_id").isin(*full.values()))
     if have.select("_id").distinct().count() < len(set(full.values())):
         path = spark.createDataFrame([], "length int, nodes array<string>, types array<string>")
@@ -505,7 +506,8 @@ def _shortest(lw: Lowering, s: Select) -> DataFrame:
     fields = {x[1][-1] for q in quants for x in walk(q[4]) if x[0] == "col" and x[1][0] == q[2]}
     if quants:  # the path's nodes with the fields that the conditions read
         on_path = df.select(F.posexplode(f"`{col_name(r, 'nodes')}`").alias("_i", "_id"))
-        rows = on_path.join(every, "_id").select("_i", F.struct("_id", *[F.col(f"`{f}`") if f in every.columns else F.lit(None).cast("string").alias(f) for f in sorted(fields - {"_id"})]).alias("_n"))
+        whole = cat.every()
+        rows = on_path.join(whole, "_id").select("_i", F.struct("_id", *[F.col(f"`{f}`") if f in whole.columns else F.lit(None).cast("string").alias(f) for f in sorted(fields - {"_id"})]).alias("_n"))
         rows = rows.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_n"))), lambda x: x["_n"]).alias("_full"))
         df = df.crossJoin(rows)
     scope = Scope(df, {(r, "nodes"): (col_name(r, "nodes"), "array<string>"), (r, "rels"): (col_name(r, "rels"), "array")}, match=True)
