@@ -74,16 +74,18 @@ class Q:
         e = self.engine.edges([kind] if kind else None)
         return e.select(F.col("from").alias("src"), F.col("to").alias("dst"), "type", "attrs")
 
-    def _at(self, ids: DataFrame) -> Q:
-        """The nodes of a frame (node), once each."""
-        every = self.engine.catalog.every()
+    def _at(self, ids: DataFrame, kind: str | None = None) -> Q:
+        """The nodes of a frame (node), once each; kind says what edges led there, so in which collections they are."""
+        cat = self.engine.catalog
+        ends = {c for _, p in cat.parts([kind] if kind else None) for c in (p.source, p.target)} | ({self.name} if self.name else set(cat.collections))
+        every = cat.every(sorted(ends & set(cat.collections)))
         return Q(self.engine, every.join(ids.select(F.col("node").alias("_id")).distinct(), "_id", "left_semi"))
 
     def forward(self, kind: str) -> Q:
-        return self._at(graph.hop(self.df.select(F.col("_id").alias("node")), self._edges(kind).select("src", "dst")))
+        return self._at(graph.hop(self.df.select(F.col("_id").alias("node")), self._edges(kind).select("src", "dst")), kind)
 
     def backward(self, kind: str) -> Q:
-        return self._at(graph.hop(self.df.select(F.col("_id").alias("node")), self._edges(kind).select("src", "dst"), "in"))
+        return self._at(graph.hop(self.df.select(F.col("_id").alias("node")), self._edges(kind).select("src", "dst"), "in"), kind)
 
     def hops(self, n: int) -> Q:
         """All nodes within n edges of any type, the starts too."""
@@ -91,7 +93,7 @@ class Q:
 
     def hops_typed(self, kind: str, n: int) -> Q:
         """Nodes within n edges of a type; starts only if reached again."""
-        return self._at(graph.bfs(self.df.select(F.col("_id").alias("node")), self._edges(kind), n, with_starts=False))
+        return self._at(graph.bfs(self.df.select(F.col("_id").alias("node")), self._edges(kind), n, with_starts=False), kind)
 
     def leaves(self) -> Q:
         return self._with(graph.leaves(self.df, self._edges(None)))

@@ -49,12 +49,29 @@ class Frame:
 
 
 class Collection(Frame):
-    """df has _key and the fields; columns is the declared schema, if there is one; body is a view's text."""
+    """df has _key and the fields; columns is the declared schema, if there is one; body is a view's text.
 
-    def __init__(self, df, columns: list[ColumnDef] | None = None, body: str | None = None, auto_index: bool = False):
+    key is the column that _key was made from, if it was.
+    """
+
+    def __init__(self, df, columns: list[ColumnDef] | None = None, body: str | None = None, auto_index: bool = False, key: str | None = None):
         super().__init__(df)
+        self.key = key
         self.columns, self.body, self.auto_index = columns, body, auto_index
 
+    @property
+    def df(self) -> DataFrame:
+        return Frame.df.fget(self)
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df, self.key = df, None  # changed rows needn't have the column any more
+
+    @property
+    def number(self) -> str | None:
+        """That column, if it has whole numbers."""
+        return self.key if self.key and dict(self.df.dtypes).get(self.key) in ("bigint", "int", "smallint", "tinyint") else None
+
 
 class EdgePart(Frame):
     """Edges of one type between two collections: _src and _dst are keys, the other columns attributes.

@@ -44,7 +44,7 @@ class Engine:
                 raise QueryError("a collection needs _key, or a column to make it from")
             return got
 
-        self.catalog.collections[name] = Collection(made() if isinstance(df, DataFrame) else made)
+        self.catalog.collections[name] = Collection(made() if isinstance(df, DataFrame) else made, key=key)
         return self
 
     def register_edges(self, kind: str, source: str, target: str, df: DataFrame | Callable[[], DataFrame], src: str, dst: str, sound: bool = False) -> Engine:

@@ -370,6 +370,14 @@ class Lowering:
             raise QueryError(f"no collection for {var}")
         return scope.corpora[var]
 
+    def keyed(self, df: DataFrame, name: str, conds: list[tuple]) -> DataFrame:
+        """df with conditions on _key also said of the number it was made from, which the scan can use."""
+        number_ = self.catalog.collection(name).number
+        for c in conds if number_ else []:
+            if c[1] == "=" and c[3][0] in ("lit", "param") and str(self.value(c[3])).isdigit() and str(int(self.value(c[3]))) == str(self.value(c[3])):
+                df = df.filter(F.col(f"`{number_}`") == int(self.value(c[3])))
+        return df
+
     # SELECT from one collection
     def select(self, s: Select) -> DataFrame:
         from . import match
@@ -382,6 +390,8 @@ class Lowering:
         name = src.name or "ALL"
         df = self.catalog.nodes(src.name) if src.name else self.catalog.every()
         scope = table_scope(df, name, src.alias)
+        if src.name:
+            df = self.keyed(df, src.name, [c for c in conjuncts(s.where) if is_key(c)])
         df = self.filtered(df, scope, conjuncts(s.where))
         return self.finish(s, df, scope)
 

@@ -74,7 +74,8 @@ class Match:
         self.lw, self.needs, self.waiting, self.known, self.mode = lw, needs, conds, known, mode
         self.df: DataFrame | None = None
         self.scope = Scope(None, {}, match=True)
-        self.bound: dict[str, str] = {}  # node variable -> column of its slug
+        self.bound: dict[str, str] = {}  # node variable -> column of its identity
+        self.plain: dict[str, bool] = {}  # whether that is the key alone, as all are of one collection, or the slug
         self.labels: dict[str, set[str] | None] = {}
 
     # nodes
@@ -91,13 +92,15 @@ class Match:
             kinds[f] = "string"
         return fields + sorted(unknown), kinds
 
-    def node_frame(self, n: Node, labels: set[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    def node_frame(self, n: Node, labels: set[str], plain: bool) -> tuple[DataFrame, list[tuple[str, str]]]:
         fields, kinds = self.node_columns(n, labels)
         df = self.lw.catalog.nodes(next(iter(labels))) if len(labels) == 1 else self.lw.catalog.every(sorted(labels))
+        if len(labels) == 1:
+            df = self.lw.keyed(df, next(iter(labels)), [c for c in self.waiting if c[0] == "op" and c[2] == ("col", (n.var, "_key"))])
         have = set(df.columns)
         picked = [F.col(f"`{f}`") if f in have else F.lit(None).cast("string") for f in fields]
         whole = "*" in self.needs.of(n.var) and any(x[0] == "col" and x[1] == (n.var,) for x in self.exprs())
-        out = df.select(F.col("_id").alias(col_name(n.var, "@")), *[c.alias(col_name(n.var, f)) for c, f in zip(picked, fields)], *([F.struct(*[c for c in df.columns]).alias(col_name(n.var, "node"))] if whole else []))
+        out = df.select(F.col("_key" if plain else "_id").alias(col_name(n.var, "@")), *[c.alias(col_name(n.var, f)) for c, f in zip(picked, fields)], *([F.struct(*[c for c in df.columns]).alias(col_name(n.var, "node"))] if whole else []))
         if whole:
             self.scope.nodes[n.var] = col_name(n.var, "node")
         return out, [(f, kinds[f]) for f in fields]
@@ -107,8 +110,8 @@ class Match:
     def exprs(self):
         return (x for e in self.all_exprs for x in walk(e))
 
-    def bind(self, n: Node, columns: list[tuple[str, str]], labels: set[str]) -> None:
-        self.bound[n.var] = col_name(n.var, "@")
+    def bind(self, n: Node, columns: list[tuple[str, str]], labels: set[str], plain: bool) -> None:
+        self.bound[n.var], self.plain[n.var] = col_name(n.var, "@"), plain
         for f, k in columns:
             self.scope.columns[(n.var, f)] = (col_name(n.var, f), k)
         if len(labels) == 1:
@@ -145,49 +148,61 @@ class Match:
             labels = labels or set(self.lw.catalog.collections)
         for label in labels:
             self.lw.catalog.collection(label)
-        frame, columns = self.node_frame(n, labels)
+        plain = len(labels) == 1 and not self.paths
+        frame, columns = self.node_frame(n, labels, plain)
         if self.df is None:
             self.df = frame
             if self.mode == "count":
                 self.df = self.df.withColumn("_w", F.lit(1).cast("bigint"))
         else:
             self.df = self.df.crossJoin(frame)
-        self.bind(n, columns, labels)
+        self.bind(n, columns, labels, plain)
         self.labels[n.var] = labels
         self.inline(n)
         self.settle()
 
     # hops
-    def edge_frame(self, h: Hop, source: set[str] | None, target: set[str] | None) -> tuple[DataFrame | None, set[str], bool]:
-        """(src, dst, attributes) as walked, the collections of dst, and whether dst is sure to exist."""
+    def slugged(self, var: str) -> Column:
+        c = F.col(f"`{self.bound[var]}`")
+        return slug(next(iter(self.labels[var])), c) if self.plain[var] else c
+
+    def edge_frame(self, h: Hop, source: set[str] | None, target: set[str] | None, plain: bool, to_plain: bool | None) -> tuple[DataFrame | None, set[str], bool, bool]:
+        """(src, dst, attributes) as walked, the collections of dst, whether dst is sure to exist, and is a plain key.
+
+        plain: src is the key alone; to_plain says so of dst, None lets one collection decide.
+        """
         wanted = self.needs.of(h.var) if h.var else set()
         frames, ends, sound = [], set(), True
         ways = [h.direction] if h.direction != "both" else ["out", "in"]
         kinds: dict[str, str] = {}
-        for way in ways:
-            a, b = (source, target) if way == "out" else (target, source)
-            for t, part in self.lw.catalog.parts(h.types, a, b):
-                s, d = slug(part.source, F.col("_src")), slug(part.target, F.col("_dst"))
-                attrs = [c for c in part.df.columns if c not in ("_src", "_dst")]
+        found = [(way, t, part) for way in ways for t, part in self.lw.catalog.parts(h.types, *((source, target) if way == "out" else (target, source)))]
+        far = {part.target if way == "out" else part.source for way, _, part in found}
+        if to_plain is None:
+            to_plain = len(far) == 1 and far <= set(self.lw.catalog.collections)
+        for way, t, part in found:
+            near_end, far_end = (("_src", part.source), ("_dst", part.target)) if way == "out" else (("_dst", part.target), ("_src", part.source))
+            s = F.col(near_end[0]) if plain else slug(near_end[1], F.col(near_end[0]))
+            d = F.col(far_end[0]) if to_plain else slug(far_end[1], F.col(far_end[0]))
+            attrs = [c for c in part.df.columns if c not in ("_src", "_dst")]
+            for k, v in h.props.items():
+                if k not in attrs:
+                    break
+            else:
+                df = part.df
                 for k, v in h.props.items():
-                    if k not in attrs:
-                        break
-                else:
-                    df = part.df
-                    for k, v in h.props.items():
-                        df = df.filter(F.col(f"`{k}`") == F.lit(self.lw.value(v)))
-                    use = [c for c in attrs if "*" in wanted or c in wanted]
-                    for c, k in part.df.dtypes:
-                        if c in use:
-                            kinds.setdefault(c, k)
-                    bag = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in attrs])) if attrs else F.lit("{}")] if self.paths else []
-                    frames.append(df.select((s if way == "out" else d).alias("src"), (d if way == "out" else s).alias("dst"), *[F.col(f"`{c}`").alias(f"e·{c}") for c in use], *([F.lit(t).alias("_type")] if self.paths or "_type" in wanted else []), *[b.alias("_attrs") for b in bag], *([F.lit(way == "out").alias("_forward")] if self.paths else [])))
-                    ends.add(part.target if way == "out" else part.source)
-                    sound = sound and part.sound
+                    df = df.filter(F.col(f"`{k}`") == F.lit(self.lw.value(v)))
+                use = [c for c in attrs if "*" in wanted or c in wanted]
+                for c, k in part.df.dtypes:
+                    if c in use:
+                        kinds.setdefault(c, k)
+                bag = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in attrs])) if attrs else F.lit("{}")] if self.paths else []
+                frames.append(df.select(s.alias("src"), d.alias("dst"), *[F.col(f"`{c}`").alias(f"e·{c}") for c in use], *([F.lit(t).alias("_type")] if self.paths or "_type" in wanted else []), *[b.alias("_attrs") for b in bag], *([F.lit(way == "out").alias("_forward")] if self.paths else [])))
+                ends.add(part.target if way == "out" else part.source)
+                sound = sound and part.sound
         if not frames:
-            return None, set(), True
+            return None, set(), True, bool(to_plain)
         self.edge_kinds = kinds
-        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames), ends, sound
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames), ends, sound, to_plain
 
     edge_kinds: dict[str, str] = {}
     paths = False
@@ -199,12 +214,17 @@ class Match:
             self.lw.catalog.collection(to.label)
         source = self.labels.get(p.nodes[i].var)
         ranged = h.ranged and (h.lo, h.hi) != (1, 1)
-        edges, ends, sound = self.edge_frame(h, None if ranged else source, None if ranged else labels)
+        near = p.nodes[i].var
+        to_plain = self.plain[to.var] if to.var in self.bound else False if ranged or self.paths else None
+        if ranged and to_plain:  # walks go by slugs, as they may lead through several collections
+            self.df = self.df.withColumn(self.bound[to.var], self.slugged(to.var))
+            self.plain[to.var] = to_plain = False
+        edges, ends, sound, to_plain = self.edge_frame(h, None if ranged else source, None if ranged else labels, self.plain[near] and not ranged, to_plain)
         if edges is None:  # no such edges: no rows, but the right columns
             edges = self.lw.spark.createDataFrame([], "src string, dst string" + (", _type string, _attrs string, _forward boolean" if self.paths else ""))
             ends = labels or {next(iter(self.lw.catalog.collections))}
         if ranged:
-            moved = self.walks(edges, h, at)
+            moved = self.walks(edges, h, near)
             ends = ends | (source or set()) if h.lo == 0 else ends
         else:
             moved = self.df.join(edges.withColumnRenamed("src", at), at).withColumnRenamed("dst", "_at")
@@ -224,15 +244,18 @@ class Match:
             ends = labels or set(self.lw.catalog.collections)
         self.labels[to.var] = ends
         fields, kinds = self.node_columns(to, ends)
-        if sound and not ranged and set(fields) <= set(BUILT_IN):  # the slug says it all
-            cut = F.instr("_at", "/")
-            made = {"_id": F.col("_at"), "_key": F.substring(F.col("_at"), cut + 1, F.char_length("_at")), "_collection": F.substring(F.col("_at"), F.lit(1), cut - 1)}
+        if sound and not ranged and set(fields) <= set(BUILT_IN):  # the identity says it all
+            cut, at_ = F.instr("_at", "/"), F.col("_at")
+            if to_plain:
+                made = {"_id": slug(next(iter(ends)), at_), "_key": at_, "_collection": F.lit(next(iter(ends)))}
+            else:
+                made = {"_id": at_, "_key": F.substring(at_, cut + 1, F.char_length("_at")), "_collection": F.substring(at_, F.lit(1), cut - 1)}
             self.df = self.df.withColumns({col_name(to.var, f): made[f] for f in fields}).withColumnRenamed("_at", col_name(to.var, "@"))
-            self.bind(to, [(f, "string") for f in fields], ends)
+            self.bind(to, [(f, "string") for f in fields], ends, to_plain)
         else:
-            frame, columns = self.node_frame(to, ends)
+            frame, columns = self.node_frame(to, ends, to_plain)
             self.df = self.df.withColumnRenamed("_at", col_name(to.var, "@")).join(frame, col_name(to.var, "@"))
-            self.bind(to, columns, ends)
+            self.bind(to, columns, ends, to_plain)
         self.inline(to)
         self.settle()
 
@@ -253,11 +276,11 @@ class Match:
         rel = F.struct(F.when(F.col("_forward"), came).otherwise(F.col("_at")).alias("from"), F.when(F.col("_forward"), F.col("_at")).otherwise(came).alias("to"), F.col("_type").alias("type"), F.col("_attrs").alias("attrs"))
         return df.withColumns({"_nodes": F.concat("_nodes", F.array("_at")), "_rels": F.concat("_rels", F.array(rel.cast(REL)))})
 
-    def walks(self, edges: DataFrame, h: Hop, at: str) -> DataFrame:
+    def walks(self, edges: DataFrame, h: Hop, start: str) -> DataFrame:
         """The frame moved along lo to hi edges: a row per walk, or merged as the mode allows."""
         along = {c: k for c, k in self.edge_kinds.items()} if h.var and self.mode == "rows" else {}
         slim = edges.drop(*[c for c in edges.columns if c.startswith("e·") and c[2:] not in along])
-        frontier = self.df.withColumn("_at", F.col(f"`{at}`"))
+        frontier = self.df.withColumn("_at", self.slugged(start))
         for c, k in along.items():  # an edge variable of many hops has an array of each attribute, in walking order
             frontier = frontier.withColumn(col_name(h.var, c), F.array().cast(f"array<{k}>"))
             self.scope.columns[(h.var, c)] = (col_name(h.var, c), f"array<{k}>")
@@ -300,6 +323,9 @@ class Match:
             self.paths = True
         self.start(p)
         if self.paths:
+            for var in {n.var for n in p.nodes} & set(self.bound):  # paths are of slugs
+                self.df = self.df.withColumn(self.bound[var], self.slugged(var))
+                self.plain[var] = False
             self.df = self.df.withColumns({"_nodes": F.array(F.col(f"`{self.bound[p.nodes[0].var]}`")), "_rels": F.array().cast(f"array<{REL}>")})
         for i in range(len(p.hops)):
             self.later = {n.var for n in p.nodes[i + 1 :]} | self.shared
@@ -411,7 +437,7 @@ def _stage(lw: Lowering, m: Match, stage) -> None:
     """WITH: outputs without an aggregate are the group's keys; nodes stay bound under their new names."""
     has_agg = any(x[0] == "call" and x[1] in AGGREGATES for e, _ in stage.items for x in walk(e))
     m.scope.frame = m.df
-    keep, columns, bound, labels, corpora, nodes = [], {}, {}, {}, {}, {}
+    keep, columns, bound, labels, corpora, nodes, plain = [], {}, {}, {}, {}, {}, {}
     aggs = []
     for e, alias in stage.items:
         if e[0] == "col" and len(e[1]) == 1 and e[1][0] in m.bound:  # a node
@@ -421,7 +447,7 @@ def _stage(lw: Lowering, m: Match, stage) -> None:
                     keep.append((F.col(f"`{c}`"), col_name(new, parts[1])))
                     columns[(new, parts[1])] = (col_name(new, parts[1]), k)
             keep.append((F.col(f"`{m.bound[old]}`"), col_name(new, "@")))
-            bound[new], labels[new] = col_name(new, "@"), m.labels.get(old)
+            bound[new], labels[new], plain[new] = col_name(new, "@"), m.labels.get(old), m.plain[old]
             if old in m.scope.corpora:
                 corpora[new] = m.scope.corpora[old]
             if old in m.scope.nodes:
@@ -440,6 +466,7 @@ def _stage(lw: Lowering, m: Match, stage) -> None:
         m.df = m.df.select(*[c.alias(n) for c, n in keep])
     kinds = dict(m.df.dtypes)
     m.scope.columns = {p: (c, kinds[c]) for p, (c, _) in columns.items()}
+    m.plain = plain
     m.bound, m.labels, m.scope.corpora, m.scope.nodes, m.scope.frame = bound, labels, corpora, nodes, m.df
     m.known |= {n for (n, *rest) in columns}
     m.waiting = m.waiting + conjuncts(stage.where)
@@ -463,7 +490,8 @@ def _graph(lw: Lowering, s: Select) -> DataFrame:
         m.df = m.df.orderBy(f"`{m.bound[p.nodes[0].var]}`").limit(int(lw.value(s.limit)))
     m.pattern(p)
     slugs = m.df.select(F.explode(f"`{col_name(p.path, 'nodes')}`").alias("_id")).distinct()
-    every = lw.catalog.every()
+    ends = {c for h in p.hops for _, q in lw.catalog.parts(h.types) for c in (q.source, q.target)} | m.labels[p.nodes[0].var]
+    every = lw.catalog.every(sorted(ends & set(lw.catalog.collections)))
     payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in every.columns if c not in ("_id", "_collection")]))
     nodes = every.join(slugs, "_id", "left_semi").select(F.struct(F.col("_id").alias("slug"), F.col("_collection").alias("collection"), F.col("_key").alias("key"), payload.alias("payload")).alias("n"))
     edges = m.df.select(F.explode(f"`{col_name(p.path, 'rels')}`").alias("e")).distinct()

@@ -305,6 +305,29 @@ def test_geometry(spark):
     assert abs(m["sq"]["a"] - 97.7e6) < 0.3e6 and abs(m["sq"]["p"] - 39_780) < 30
 
 
+def test_keys_made_from_numbers_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id AS k", "id * 2 AS v").write.parquet(f"{tmp_path}/t")
+    e = Engine(spark).register("t", lambda: spark.read.parquet(f"{tmp_path}/t"), "k")
+    e.register_edges("up", "t", "t", lambda: spark.range(99).selectExpr("id AS a", "id + 1 AS b"), "a", "b", sound=True)
+    assert "EqualTo(k,17)" in e.explain("SELECT v FROM t WHERE _key = '17'") and e.sql("SELECT v FROM t WHERE _key = '17'").first()[0] == 34
+    assert "EqualTo(k,17)" in e.explain("SELECT y._key FROM MATCH (x:t)-[:up]->(y:t) WHERE x._key = '17'")
+    assert e.sql("SELECT v FROM t WHERE _key = '017'").count() == 0
+    e.execute("INSERT INTO t (_key, v) VALUES ('17', 5), ('500', 6)")
+    assert [e.sql(f"SELECT v FROM t WHERE _key = '{k}'").first()[0] for k in (17, 500)] == [5, 6]
+
+
+def test_cycles_and_mixed_collections(spark, chain):
+    e = Engine(spark)
+    e.put_many([("a/1", {"v": 1}), ("a/2", {"v": 2}), ("b/1", {"v": 3})])
+    e.link_many([("a/1", "a/2", "to"), ("a/2", "a/1", "to"), ("a/1", "b/1", "to"), ("b/1", "a/1", "back")])
+    assert keys(e.sql("SELECT y._id AS k FROM MATCH (x:a)-[:to]->(y)"), "k") == ["a/1", "a/2", "b/1"]
+    assert keys(e.sql("SELECT y._id AS k FROM MATCH (x:a)-[:to]->(y:b)"), "k") == ["b/1"]
+    assert keys(e.sql("SELECT y._id AS k FROM MATCH (x:a)-[:to]->(y)-[]->(x)"), "k") == ["a/1", "a/2", "b/1"]
+    assert keys(e.sql("SELECT z._id AS k FROM MATCH (x:b)-[:back]->(y)-[:to*1..2]->(z) WHERE y.v = 1"), "k") == ["a/1", "a/2", "b/1"]
+    assert keys(e.sql("SELECT z._id AS k FROM MATCH (x:a)-[:to]->(y) WITH y MATCH (y)-[:back]->(z:a)"), "k") == ["a/1"]
+    assert e.sql("SELECT y._id AS k, nodes(p) AS n FROM MATCH (x:b)-[:back]->(y:a) WITH y MATCH p = (y)-[:to]->(z:a)").first()[:] == ("a/1", ["a/1", "a/2"])
+
+
 def test_builder(chain, nulls):
     q = nulls.collection("p")
     assert q.where_gte("n", 2).where_neq("status", "open").count() == 1
