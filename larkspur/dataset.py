@@ -24,10 +24,10 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     lon = "115 + cast(c_custkey * 37 % 1000 as double) / 1000"
     lat = "-8 - cast(c_custkey * 61 % 1000 as double) / 1000"
     e.register("places", lambda: read("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", point_json(F.expr(lon), F.expr(lat)).alias("geometry")), "c_custkey")
-    square = """concat('{"type":"Polygon","coordinates":[[[', w, ',', s, '],[', w + 0.15, ',', s, '],[', w + 0.15, ',', s + 0.15, '],[', w, ',', s + 0.15, '],[', w, ',', s, ']]]}')"""
+    square = """concat('{"coordinates":[[[', w, ',', s, '],[', w + 0.15, ',', s, '],[', w + 0.15, ',', s + 0.15, '],[', w, ',', s + 0.15, '],[', w, ',', s, ']]],"type":"Polygon"}')"""
     corner = {"w": "115 + cast(n_nationkey % 5 as double) * 0.2", "s": "-9 + cast(floor(n_nationkey / 5) as double) * 0.2"}
     e.register("zones", lambda: read("nation").withColumns({c: F.expr(x) for c, x in corner.items()}).select("n_nationkey", "n_name", F.expr(square).alias("geometry")), "n_nationkey")
-    line = """concat('{"type":"LineString","coordinates":[[', 115 + k, ',-8.5],[', 115 + k, ',', -8.5 + k, '],[115,', -8.5 + k, ']]}')"""
+    line = """concat('{"coordinates":[[', 115 + k, ',-8.5],[', 115 + k, ',', -8.5 + k, '],[115,', -8.5 + k, ']],"type":"LineString"}')"""
     e.register("routes", lambda: read("supplier").withColumn("k", F.expr("cast(s_suppkey % 100 as double) / 100")).select("s_suppkey", F.expr(line).alias("geometry")), "s_suppkey")
     item = {"l_quantity": "quantity", "l_extendedprice": "price", "l_discount": "discount", "l_returnflag": "flag"}
     edge = lambda kind, a, b, table, src, dst, *more: e.register_edges(kind, a, b, lambda: read(table).select(src, dst, *more), src, dst, sound=True)

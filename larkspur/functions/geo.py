@@ -51,7 +51,7 @@ def literal_ring(ring: Ring) -> Column:
 
 
 def point_json(lon: Column, lat: Column) -> Column:
-    return F.concat(F.lit('{"type":"Point","coordinates":['), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit("]}"))
+    return F.concat(F.lit('{"coordinates":['), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit('],"type":"Point"}'))
 
 
 def centroid(g: Column) -> Column:

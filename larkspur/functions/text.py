@@ -36,7 +36,7 @@ def term_count(toks: Column, term: str) -> Column:
 
 
 def idf(n: Column, df: Column) -> Column:
-    return F.log1p((n - df + 0.5) / (df + 0.5))
+    return F.log1p((n + 0.5 - df) / (0.5 + df))
 
 
 def bm25_part(tf: Column, length: Column, mean: Column, weight: Column) -> Column:

@@ -437,8 +437,8 @@ def _stage(lw: Lowering, m: Match, stage) -> None:
     """WITH: outputs without an aggregate are the group's keys; nodes stay bound under their new names."""
     has_agg = any(x[0] == "call" and x[1] in AGGREGATES for e, _ in stage.items for x in walk(e))
     m.scope.frame = m.df
-    keep, columns, bound, labels, corpora, nodes, plain = [], {}, {}, {}, {}, {}, {}
-    aggs = []
+    keep, aggs = [], []
+    columns, bound, labels, corpora, nodes, plain = (dict() for _ in range(6))
     for e, alias in stage.items:
         if e[0] == "col" and len(e[1]) == 1 and e[1][0] in m.bound:  # a node
             old, new = e[1][0], alias or e[1][0]

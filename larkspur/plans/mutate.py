@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +114,7 @@ class Mutation:
                     if r.get(c.name) is None and c.default is not None:
                         r[c.name] = self.constant(c.default)
                     if r.get(c.name) is None and (c.name.endswith(("_at", "_time"))) and c.kind == "TIMESTAMPTZ":
-                        r[c.name] = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+                        r[c.name] = datetime.now(UTC).isoformat(timespec="seconds")
                     if r.get(c.name) is None and c.not_null and c.generated is None:
                         raise QueryError(f"{c.name} can't be NULL")
                 for f in r:
