@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -155,6 +156,17 @@ class Engine:
             self._publish()
         return 0
 
+    @contextmanager
+    def transaction(self):
+        """All changes within, or none if an error leaves it."""
+        self._transaction("BEGIN")
+        try:
+            yield self
+        except BaseException:
+            self._transaction("ROLLBACK")
+            raise
+        self._transaction("COMMIT")
+
     def _publish(self) -> None:
         """One event for all that was committed together."""
         if self._pending:
@@ -362,6 +374,20 @@ class Engine:
         row = self.catalog.collection(c).df.filter(F.col("_key") == k).select(geo.centroid(F.col("geometry"))).first()
         return row[0] if row is not None else None
 
+    def dump_sql(self) -> list[str]:
+        from .sources.dump import dump_sql
+
+        return list(dump_sql(self))
+
+    def load_sql(self, statements: list[str]) -> int:
+        from .sources.dump import load_sql
+
+        return load_sql(self, iter(statements))
+
+    def memory_report(self) -> dict[str, int]:
+        """Bytes of cached blocks; the engine itself caches nothing."""
+        return {"storage": sum(i.memSize() for i in self.spark._jsc.sc().getRDDStorageInfo())}
+
     # nothing to do for Spark
     def compact(self) -> None: ...
 

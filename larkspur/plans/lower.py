@@ -210,9 +210,15 @@ class Lowering:
         if sign in ("+", "-", "*", "/"):
             x, y = self.score(scope, a, self.scoring), self.score(scope, b, self.scoring)
             return safe_div(x, y) if sign == "/" else {"+": x + y, "-": x - y, "*": x * y}[sign]
-        x, y = self.like_kind(a, b, scope), self.like_kind(b, a, scope)
+        x, y = (self.now(o, scope) if e_key(t) == e_key(NOW) else self.like_kind(t, o, scope) for t, o in ((a, b), (b, a)))
         return {"=": lambda: x == y, "!=": lambda: x != y, "<": lambda: x < y, ">": lambda: x > y, "<=": lambda: x <= y, ">=": lambda: x >= y}[sign]()
 
+    def now(self, other: tuple, scope: Scope) -> Column:
+        """NOW() in a comparison: an instant beside instants, else milliseconds, in a match seconds, since 1970."""
+        if other[0] == "col" and scope.find(other[1])[1].startswith(("timestamp", "date")):
+            return F.current_timestamp()
+        return F.unix_timestamp(F.current_timestamp()) if scope.match else F.unix_millis(F.current_timestamp())
+
     scoring = False  # whether missing fields in arithmetic count as 0
 
     def quantified(self, e: tuple, scope: Scope) -> Column:
@@ -576,6 +582,9 @@ class Lowering:
 KINDS = {"lit", "param", "col", "path", "call", "op", "neg", "not", "and", "or", "in", "any", "between", "null", "like", "case", "array", "object", "point", "polygon", "star", "quant", "contains", "typo"}
 
 
+NOW = ("call", "NOW", [], False)
+
+
 def e_key(e: tuple) -> str:
     return repr(e)
 

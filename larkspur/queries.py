@@ -168,7 +168,7 @@ def _(e: Engine) -> DataFrame:
     return vector_ops.nearest_join(df, "embedding", wanted, 5, key="vec_id").withColumn("distance", F.round("distance", 4) + 0.0)
 
 
-@call("vector_compact", None)
+@call("vector_compact", f"SELECT vec_id FROM embeddings ORDER BY {_L2}, vec_id LIMIT 10")
 def _(e: Engine) -> DataFrame:
     df = e.catalog.nodes("embeddings")
     bounds = vector_ops.calibrated(df, "embedding")
@@ -241,7 +241,19 @@ ask("st_contains", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, PO
 ask("st_contains_polygon", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, POLYGON((115.22 -8.57, 115.3 -8.57, 115.3 -8.5, 115.22 -8.57)))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE 115.22 > w AND 115.3 < w + 0.15 AND -8.57 > s AND -8.5 < s + 0.15")
 ask("st_intersects", "SELECT n_nationkey FROM zones WHERE ST_Intersects(geometry, POLYGON((115.1 -8.9, 115.5 -8.9, 115.5 -8.45, 115.1 -8.45, 115.1 -8.9)))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE w < 115.5 AND w + 0.15 > 115.1 AND s < -8.45 AND s + 0.15 > -8.9")
 ask("st_centroid", "SELECT n_nationkey, ST_Centroid(geometry) AS c FROM zones", None)
-ask("st_measures", "SELECT n_nationkey, ST_Perimeter(geometry) AS m, ST_Area(geometry) AS m2, ST_Length(geometry) AS len FROM zones", None)
+_SIDES = "(SELECT n_nationkey, s AS a, w AS b, s AS c, w + 0.15 AS d FROM z UNION ALL SELECT n_nationkey, s, w + 0.15, s + 0.15, w + 0.15 FROM z UNION ALL SELECT n_nationkey, s + 0.15, w + 0.15, s + 0.15, w FROM z UNION ALL SELECT n_nationkey, s + 0.15, w, s, w FROM z)"
+ask("st_perimeter", "SELECT n_nationkey, ST_Perimeter(geometry) AS m, ST_Length(geometry) AS len FROM zones", vincenty_sql(_SIDES, "n_nationkey", "a", "b", "c", "d").replace("WITH ", f"WITH z AS ({_ZONE}), ", 1) + " SELECT n_nationkey, round(sum(metres), 2) AS m, cast(0 AS double) AS len FROM v GROUP BY 1", digits=2)
+
+
+def _half(lat: str) -> str:
+    """tan of half the authalic latitude, in SQL."""
+    e2 = 2 / 298.257223563 - 1 / 298.257223563**2
+    e = e2**0.5
+    q = lambda x: f"({1 - e2} * ({x} / (1 - {e2} * {x} * {x}) - ln((1 - {e} * {x}) / (1 + {e} * {x})) / {2 * e}))"
+    return f"tan(asin({q(f'sin(radians({lat}))')} / {q('1.0')}) / 2)"
+
+
+ask("st_area", "SELECT n_nationkey, ST_Area(geometry) AS m2 FROM zones", f"SELECT n_nationkey, round(abs(2 * atan2(tan(radians(0.15) / 2) * 2 * lo, 1 + lo * lo) - 2 * atan2(tan(radians(0.15) / 2) * 2 * hi, 1 + hi * hi)) * 6371007.18091847 ** 2, 0) AS m2 FROM (SELECT n_nationkey, {_half('s')} AS lo, {_half('s + 0.15')} AS hi FROM ({_ZONE}))", digits=0)
 _K = "cast(s_suppkey % 100 AS double) / 100"
 ask("st_length", "SELECT s_suppkey, ST_Length(geometry) AS m FROM routes", vincenty_sql(f"(SELECT s_suppkey, {_K} AS k, -8.5 + {_K} AS a, 115 + {_K} AS b, -8.5 + {_K} AS c, 115.0 AS d FROM supplier UNION ALL SELECT s_suppkey, {_K}, -8.5, 115 + {_K}, -8.5 + {_K}, 115 + {_K} FROM supplier)", "s_suppkey", "a", "b", "c", "d") + " SELECT s_suppkey, round(sum(metres), 4) AS m FROM v GROUP BY 1")
 
