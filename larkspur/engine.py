@@ -117,7 +117,7 @@ class Engine:
         """Spark's formatted plan; analyze runs the query first, so that it is the plan that adaptive execution chose."""
         df = self.sql(text, params)
         if analyze:
-            df.write.format("noop").mode("overwrite").save()
+            df._jdf.queryExecution().toRdd().count()
         return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def execute(self, text: str, params: list | None = None) -> int:
