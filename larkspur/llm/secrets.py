@@ -37,8 +37,8 @@ SCHEMA = "doc_id bigint, first int, last int, preview string, probability double
 
 _KEY = r"A-Za-z0-9_\-+/=.~"
 CANDIDATE = re.compile(
-    rf"(?<![{_KEY}])(?=[^\s\d]*\d)[{_KEY}]{{{SHORTEST},}}"
-    r"|(?i:(?<=pass)|(?<=password)|(?<=passwd)|(?<=pwd)|(?<=secret)|(?<=token)|(?<=key)|(?<=auth))[\"']?\s{0,3}[=:]{1,2}\s{0,3}[\"']?(?P<value>[^\s\"',;<>]{8,})"
+    rf"(?<![{_KEY}])(?=[A-Za-z_\-+/=.~]*\d)[{_KEY}]{{{SHORTEST},}}"
+    r"|(?=[\"'\s=:])(?i:(?<=pass)|(?<=password)|(?<=passwd)|(?<=pwd)|(?<=secret)|(?<=token)|(?<=key)|(?<=auth))[\"']?\s{0,3}[=:]{1,2}\s{0,3}[\"']?(?P<value>[^\s\"',;<>]{8,})"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 )
 
@@ -266,5 +266,5 @@ def findings(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    docs = common.load(spark, sf_dir, "documents", spread=True)
     return findings(docs, fit(docs))
