@@ -44,8 +44,9 @@ def visible(html: str | None) -> str:
     """The tokens of a page's visible text, with one blank between them."""
     if not html:
         return ""
-    bare = _TAG.sub(lambda m: "" if m[2].lower() in _INLINE else " ", _GONE.sub(" ", html))
-    return " ".join(unescape(bare).split())
+    # a tag that the page leaves open ends with it; the mark also keeps the search for its end from running on and on
+    bare = _TAG.sub(lambda m: "" if m[2].lower() in _INLINE else " ", _GONE.sub(" ", html + "\0>"))
+    return " ".join(unescape(bare.removesuffix("\0>")).split())
 
 
 def _host():
