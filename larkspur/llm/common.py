@@ -22,8 +22,16 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A table; spread deals the rows of one that lies in fewer pieces than there are cores, for work in Python.
+
+    A table of many files is left as it lies: then nothing is moved.
+    """
+    df = ready(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(4 * cores, F.xxhash64("doc_id", F.length("text")))
+    return df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,15 +54,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Remove a table made by written(), once nothing lazy reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 17) -> DataFrame:
     """At most about `rows` rows, those with the smallest hashes of key: the same rows on every run and layout.
 

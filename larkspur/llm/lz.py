@@ -90,4 +90,4 @@ def fingerprints(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(common.load(spark, sf_dir, "documents"))
+    return fingerprints(common.load(spark, sf_dir, "documents", spread=True))

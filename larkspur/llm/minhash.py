@@ -127,4 +127,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(common.load(spark, sf_dir, "documents"))
+    return near_copies(common.load(spark, sf_dir, "documents", spread=True))

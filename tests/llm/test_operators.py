@@ -325,7 +325,7 @@ def brute_packs(texts, window):
             s = 0.0
             for w in set(toks[seed]) & set(toks[d]):
                 tf = toks[d].count(w)
-                s += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
+                s += math.log(1 + (n + 0.5 - df[w]) / (0.5 + df[w])) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
             if s > 0:
                 scored.append((-round(s, 6), d))
         for _, d in sorted(scored):
@@ -383,6 +383,8 @@ def test_mixing_on_awkward_rows(awkward, docs):
 # 7 html
 def test_visible_text():
     page = "<html><head><title>A &amp; B</title><style>x{}</style><script>var a='<p>';</script></head><body><!-- no --><p>one<br>two <b>th</b>ree</p><script>open"
+    assert html.visible("a > b") == "a > b" and html.visible("x <p y") == "x" and html.visible("x <!-- y") == "x"
+    assert html.visible("<a " * 200_000) == "" and html.visible("<script" * 100_000 + "a>b") == ""
     assert html.visible(page) == "A & B one two three" and html.visible(None) == html.visible("") == ""
 
 
