@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .words import TypeTable, features, sums, word_hash
+from .words import Marks, TypeTable, features, slices, sums, word_hash
 
 SAMPLE_DOCS = 1200
 BUCKETS = 1 << 17
@@ -166,6 +166,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3
     crf = Crf(names, np.zeros((BUCKETS + k, k), np.float32), np.zeros((k, k)), np.zeros(k), lexicons)
     flat, counts = crf.word_features(words)
     offsets = np.concatenate([[0], np.cumsum(counts)])
+    marks, type_marks = Marks(len(crf.weights)), Marks(len(words))
     squares, squares_t = np.full(crf.weights.shape, 1e-8, np.float32), np.full((k, k), 1e-8)
     for _ in range(epochs if k > 1 else 0):
         batch_ids, batch_y, lengths = [], [], []
@@ -186,8 +187,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3
                 continue
             ids, ys, lens = np.concatenate(batch_ids), np.concatenate(batch_y), np.array(lengths)
             batch_ids, batch_y, lengths = [], [], []
-            used, at = np.unique(ids, return_inverse=True)
-            part = np.concatenate([flat[offsets[u] : offsets[u + 1]] for u in used])
+            used, at = type_marks.distinct(ids)
+            part = slices(flat, offsets, used)
             scores = sums(crf.weights, part, counts[used])[at]
             gamma, xi = forward_backward(scores, lens, crf.trans, crf.start, pairs=True)
             inner = np.ones(len(ids), bool)
@@ -196,7 +197,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 3, rate: float = 0.3
             np.add.at(xi, (ys[to - 1], ys[to]), -1.0)
             gamma[np.arange(len(ids)), ys] -= 1
             per_type = np.stack([np.bincount(at, gamma[:, y], len(used)) for y in range(k)], 1)
-            distinct, inverse = np.unique(part, return_inverse=True)
+            distinct, inverse = marks.distinct(part)
             spread = np.repeat(np.arange(len(used)), counts[used])
             grad = np.stack([np.bincount(inverse, per_type[spread, y], len(distinct)) for y in range(k)], 1)
             squares[distinct] += grad**2
@@ -296,5 +297,5 @@ def drop_rejected(docs: DataFrame, crf: Crf) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    docs = common.load(spark, sf_dir, "documents", spread=True)
     return languages(docs, fit(docs))

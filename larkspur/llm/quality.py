@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .words import TypeTable, features, sums
+from .words import Marks, TypeTable, features, slices, sums
 
 SAMPLE_DOCS = 4000
 BUCKETS = 1 << 17
@@ -48,7 +48,7 @@ class Model:
         return 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.5, batch: int = 32, seed: int = 3) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 4, rate: float = 0.5, batch: int = 64, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     types: dict[str, int] = {}
     docs = [np.fromiter((types.setdefault(w, len(types)) for w in t.split()), np.int64) for t in texts]
@@ -59,12 +59,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
     e = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, 2)), np.zeros(2)
     seen_e, seen_w, seen_b = np.full((BUCKETS, 1), 1e-6, np.float32), np.full(w.shape, 1e-6), np.full(2, 1e-6)
+    marks, type_marks = Marks(BUCKETS), Marks(len(types))
     pool = np.array([i for i in np.flatnonzero(~held) if len(docs[i])])
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(pool), max(1, len(pool) // batch)):
             doc = np.repeat(np.arange(len(part)), [len(docs[i]) for i in part])
-            used, at = np.unique(np.concatenate([docs[i] for i in part]), return_inverse=True)
-            own = np.concatenate([flat[offsets[u] : offsets[u + 1]] for u in used])
+            used, at = type_marks.distinct(np.concatenate([docs[i] for i in part]))
+            own = slices(flat, offsets, used)
             n = counts[used]
             vectors = sums(e, own, n) / n[:, None]
             share = 1 / np.bincount(doc, minlength=len(part))
@@ -75,7 +76,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
             p[np.arange(len(part)), y[part]] -= 1
             back = (p @ w.T) * share[:, None]
             per_type = np.stack([np.bincount(at, back[doc, d], len(used)) for d in range(DIM)], 1) / n[:, None]
-            rows, inverse = np.unique(own, return_inverse=True)
+            rows, inverse = marks.distinct(own)
             spread = np.repeat(np.arange(len(used)), n)
             grad = np.stack([np.bincount(inverse, per_type[spread, d], len(rows)) for d in range(DIM)], 1)
             seen_e[rows] += (grad**2).mean(1, keepdims=True)
@@ -135,5 +136,5 @@ def quality(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents")
+    docs = common.load(spark, sf_dir, "documents", spread=True)
     return quality(docs, fit(docs, common.load(spark, sf_dir, "labels")))
