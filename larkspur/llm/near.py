@@ -1,9 +1,11 @@
 """Groups of similar items: bands of sketches, stars within buckets, verification, connected components.
 
 Buckets aren't paired off. The least item of a bucket is its pivot and every other one is verified against it, so a
-bucket of n copies costs n - 1 comparisons. What fails forms the bucket's next star, and so on; once the pairs
-that are left in all buckets are fewer than the items that came in, they are all compared. No bucket is cut or
-skipped, whatever its size.
+bucket of n copies costs n - 1 comparisons. Then the components of the edges so far are taken: a bucket within one
+component is done, and of any other the next 2, 4, 8 ... items are pivots in turn, each verified against all later
+items of other components, whether those matched an earlier pivot or not. Once the pairs across components that are
+left in all buckets are fewer than the items that came in, they are all compared. So every pair of a bucket is
+verified or already in one component, and no bucket is cut or skipped, whatever its size.
 """
 
 from __future__ import annotations
@@ -19,26 +21,28 @@ from . import common
 def similar_stars(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Verified edges (a, b) of members (bucket, item); verify takes and gives pairs (a, b)."""
     edges: DataFrame | None = None
-    lots = None
+    lots, width = None, 1
+    members = members.select("bucket", "item", F.col("item").alias("root"))
     while True:
-        pivot = F.min("item").over(Window.partitionBy("bucket"))
-        stars = members.withColumn("pivot", pivot).filter("item <> pivot")
-        stars = common.written(stars.select("bucket", "pivot", "item"), "stars")
-        n = stars.count()
+        by = Window.partitionBy("bucket")
+        left = members.withColumn("place", F.row_number().over(by.orderBy("item"))).withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by))
+        # buckets within one component have nothing left to find
+        left = common.written(left.filter("low < high").drop("low", "high"), "buckets")
+        inside = left.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        n, buckets, pairs = inside.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()
         if not n:
             return edges
-        found = common.written(verify(stars.select(F.col("pivot").alias("a"), F.col("item").alias("b")).distinct()), "edges")
+        rest = lots is not None and pairs <= lots
+        lots = n - buckets if lots is None else lots
+        pivots = (left if rest else left.filter(F.col("place") <= width)).select("bucket", F.col("place").alias("at"), F.col("item").alias("a"), F.col("root").alias("ra"))
+        others = left.select("bucket", "place", F.col("item").alias("b"), F.col("root").alias("rb"))
+        found = common.written(verify(pivots.join(others, "bucket").filter("place > at and ra <> rb").select("a", "b").distinct()), "edges")
         edges = found if edges is None else edges.unionByName(found)
-        failed = stars.join(found.select(F.col("a").alias("pivot"), F.col("b").alias("item")), ["pivot", "item"], "left_anti")
-        members = common.written(failed.select("bucket", "item"), "failed")
-        lots = lots or n
-        pairs = members.groupBy("bucket").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0))).first()[0]
-        if not pairs:
+        if rest:
             return edges
-        if pairs <= lots:
-            a, b = members.select("bucket", F.col("item").alias("a")), members.select("bucket", F.col("item").alias("b"))
-            rest = a.join(b, "bucket").filter("a < b").select("a", "b").distinct()
-            return edges.unionByName(common.written(verify(rest), "edges"))
+        roots = components(edges)
+        members = left.filter(F.col("place") > width).select("bucket", "item").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+        width *= 2
 
 
 def components(edges: DataFrame) -> DataFrame:

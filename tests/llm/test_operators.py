@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from larkspur.llm import exact_dedup, html, langid, lm, lz, minhash, mixing, packing, quality, secrets
+from larkspur.llm import exact_dedup, html, langid, lm, lz, minhash, mixing, near, packing, quality, secrets
 from larkspur.llm.sketch import fast_sketches
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +130,34 @@ def test_large_groups_and_buckets_are_not_cut(spark, rows):
     assert got == Counter({0: 1})
 
 
+def test_copies_meet_through_a_matched_original(spark):
+    edges = {(0, 7)} | {(min(7, i), max(7, i)) for i in range(1, 150) if i != 7}  # 7 is the original; the copies differ from each other
+    asked = []
+
+    def verify(pairs):
+        asked.append(sorted((r["a"], r["b"]) for r in pairs.collect()))
+        return spark.createDataFrame([p for p in asked[-1] if p in edges], "a bigint, b bigint")
+
+    found = near.similar_stars(spark.createDataFrame([(b, i) for b in (1, 2) for i in range(150)] + [(3, 7)], "bucket bigint, item bigint"), verify)
+    assert {r["item"]: r["root"] for r in near.components(found).collect()} == dict.fromkeys(range(1, 150), 0)
+    assert len(asked[0]) == 149
+
+
+def test_an_original_with_many_copies_edited_apart(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words)] + [" ".join(f"e{i}-{j}" if rng.random() < 0.1 else w for j, w in enumerate(words)) for i in range(1, 151)]
+    sets = shingle_sets(texts)
+    alike = {p for p in jaccard_pairs(sets, minhash.THRESHOLD)}
+    assert sum(a == 0 for a, _ in alike) > 130 and sum(a > 0 for a, _ in alike) < 200
+    data = table(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    items = [r for r in minhash._sketched(data).collect()]
+    bands = {r["doc_id"]: set(r["buckets"]) for r in items}
+    want = components(len(texts), {(a, b) for a, b in alike if bands[a] & bands[b]})
+    got = {r["doc_id"]: r["kept_doc_id"] for r in minhash.near_copies(data).collect()}
+    assert got == {i: want[i] for i in range(len(texts))} and Counter(got.values())[0] > 120
+
+
 def test_fast_sketches_estimate_jaccard():
     rng = np.random.default_rng(1)
     for n in (1, 5, 50, 5000):
