@@ -69,6 +69,16 @@ def test_mixing_stage_against_brute_force(spark):
     assert all(abs(got[d] - want[d]) < 2e-6 for d in want)
 
 
+def test_packs_come_in_training_order(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120")
+    at = {r["row"]["doc_id"]: r["_at"] for r in mixing.curriculum(table).select("row", "_at").collect()}
+    got = corpus_pipeline.pack(spark, table, SF).collect()
+    seed = {r["pack_id"]: r["doc_id"] for r in got if r["part"] == 0}
+    assert [r["position"] for r in got] == sorted(at[seed[r["pack_id"]]] for r in got)
+    assert all(r["position"] == at[seed[r["pack_id"]]] for r in got)
+    assert sorted(r[:7] for r in got) == sorted(r[:] for r in packing.packs(table).collect())
+
+
 def test_stages_on_awkward_rows(spark, awkward, tmp_path):  # noqa: F811
     now = awkward
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
