@@ -46,11 +46,12 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     )
     cut = docs.select("doc_id", common.text_key("text").alias("key"), F.size(blocks).alias("n"), F.posexplode(blocks).alias("pos", "block"))
     named = _named(cut, max(1, ceil(total / BUCKET_BYTES)), F.col("block"))
-    level = common.written(named.select("doc_id", "key", "n", "pos", "name"), "blocks")
+    # repeated rows become one from the first pairs on; copies says how many they were
+    level = common.written(named.select("doc_id", "key", "n", "pos", "name", F.lit(1).cast("bigint").alias("copies")), "blocks")
     found: DataFrame | None = None
     left, count = longest // block_bytes + 1, rows + total // block_bytes
     for depth in range(64):
-        ended = level.filter("n = 1").select("doc_id", "key", (F.col("name") * 64 + depth).alias("identity"))
+        ended = level.filter("n = 1").select("doc_id", "key", (F.col("name") * 64 + depth).alias("identity"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
         found = ended if found is None else found.unionByName(ended)
         if left == 1:
             break
@@ -59,10 +60,10 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         pairs = (
             level.filter("n > 1")
             .groupBy("doc_id", "key", ((F.col("n") + 1) / 2).cast("int").alias("n"), (F.col("pos") / 2).cast("int").alias("pos"))
-            .agg(F.max(F.when(~right, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(-1)).alias("b"))
+            .agg(F.max(F.when(~right, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(-1)).alias("b"), F.sum(F.when(~right, F.col("copies"))).alias("copies"))
         )
         named = _named(pairs, max(1, count // BUCKET_ROWS), F.col("a"), F.col("b"))
-        level = common.written(named.select("doc_id", "key", "n", "pos", "name"), "names")
+        level = common.written(named.select("doc_id", "key", "n", "pos", "name", "copies"), "names")
     return found
 
 

@@ -72,6 +72,14 @@ def test_exact_dedup_on_awkward_rows(spark, awkward):
     assert exact_dedup.drop_copies(awkward.limit(0)).count() == 0
 
 
+def test_repeated_long_rows_stay_rows(spark):
+    long = "abcde" * 2000
+    data = table(spark, [(i, t, None, None, None) for i, t in [(1, long), (1, long), (1, long), (2, long), (3, long + "f"), (3, long + "f"), (4, "ab"), (4, "ab")]])
+    got = Counter((r["doc_id"], r["kept_doc_id"]) for r in exact_dedup.exact_copies(data).collect())
+    assert got == Counter({(1, 1): 3, (2, 1): 1, (3, 3): 2, (4, 4): 2})
+    assert kept(exact_dedup.drop_copies(data)) == Counter({1: 1, 3: 1, 4: 1})
+
+
 # 8 near dedup
 def shingle_sets(texts):
     out = []
