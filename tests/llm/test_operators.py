@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import itertools
 import math
 from collections import Counter, defaultdict
@@ -296,6 +297,11 @@ def test_quality_on_held_out_labels(spark):
     assert (p[y == 0] < model.threshold).mean() > 0.5
 
 
+def test_quality_trains_in_full():
+    given = inspect.signature(quality.train).parameters
+    assert (given["epochs"].default, given["batch"].default) == (12, 32)
+
+
 def test_quality_on_awkward_rows(spark, awkward, docs):
     labels = spark.createDataFrame([(r["doc_id"], r["doc_id"] % 2, 0) for r in docs.collect()] + [(None, 1, 0), (3, None, 0), (10**9, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {(r["doc_id"], r["quality"] is None, r["keep"]) for r in quality.quality(awkward, quality.fit(docs, labels)).collect()}
