@@ -68,8 +68,8 @@ def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 17) -> Dat
 
 
 def text_key(text: Column | str) -> Column:
-    """With doc_id it tells rows apart: two rows of one doc_id that differ in text have different keys."""
-    return F.xxhash64(F.length(text), text, F.lit(7))
+    """With doc_id it tells rows apart: 128 bits of the text, and no bits for NULL."""
+    return F.coalesce(F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"))), F.lit(b""))
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:

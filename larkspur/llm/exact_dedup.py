@@ -4,48 +4,65 @@ Texts are cut into blocks of fixed size. Equal blocks get one integer name by so
 form pairs, which are sorted and named in turn, until one name is left of each document: its identity. Two
 documents have one identity if and only if their bytes are the same; no hash decides.
 
-A name is rank * buckets + bucket: a hash of the block only spreads the sorting over tasks, the rank within its
-bucket comes from comparing whole blocks. So names need no pass over a global order, and they don't depend on
-the number of tasks or on which of them ran again. Every level halves the blocks, documents leave when one name
-is left, and each level is written to the shared folder.
-
-Defined results: NULL text is one content of its own, apart from the empty text. Repeated rows are copies of each
-other; of a group the row of the smallest doc_id stays (NULL last), and one of them if it has that doc_id twice.
-An empty table gives no rows. Columns other than doc_id and text are left alone, whatever their names.
+A name is rank * buckets + bucket: a hash of the block only spreads the sorting over tasks, the rank is the block's
+place among the distinct blocks of its bucket, compared whole. Each task first reduces its blocks to distinct ones,
+so a block that a third of all rows have crosses the network once a task. The rows then look their names up without
+their blocks: by the blocks' 64-bit hash where all blocks of that hash are known to be equal, else by the blocks
+themselves; pairs by their two names. Every level halves the blocks, documents leave when one name is left, and each
+level is written to the shared folder.
+
+Defined results: NULL text is one content of its own, apart from the empty text. Repeated rows of any length are
+copies of each other and stay rows; of a group the row of the smallest doc_id stays (NULL last), and one of them if
+it has that doc_id twice. Very long texts only have more blocks and levels. An empty table gives no rows. Columns
+other than doc_id and text are left alone, whatever their names. drop_copies tells rows of one doc_id apart by 128
+bits of their texts.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK_BYTES = 4096
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 BUCKET_ROWS = 100_000
 
 
-def _named(df: DataFrame, buckets: int, *content: Column) -> DataFrame:
-    """df with `name`: one integer for each distinct content."""
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*content), F.lit(buckets)))
-    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*content))
-    return df.withColumn("name", rank.cast("bigint") * buckets + F.col("_bucket"))
+def _names(contents: DataFrame, buckets: int) -> DataFrame:
+    """(hash, content, name) of the distinct contents of (hash, content): an integer above 0 for each."""
+    sets = contents.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).agg(F.sort_array(F.collect_set(F.struct("content", "hash"))).alias("all"))
+    each = sets.select("bucket", F.posexplode("all").alias("rank", "c"))
+    return each.select("c.hash", "c.content", ((F.col("rank") + 1).cast("bigint") * buckets + F.col("bucket")).alias("name"))
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, key, identity) of each row; key is common.text_key."""
+def _blocks_named(cut: DataFrame, blocks: DataFrame, buckets: int) -> DataFrame:
+    """cut (hash, content, ...) with the name of content, 0 if it is NULL; blocks has the contents that aren't NULL."""
+    named = _names(blocks, buckets)
+    by_hash = common.written(named.groupBy("hash").agg(F.min("name").alias("name"), F.count("*").alias("kinds")), "names")
+    plain = cut.drop("content").join(by_hash.filter("kinds = 1").drop("kinds"), "hash", "left").withColumn("name", F.coalesce("name", F.lit(0)))
+    if not by_hash.filter("kinds > 1").count():
+        return plain
+    several = by_hash.filter("kinds > 1").select("hash")
+    whole = cut.join(several, "hash", "left_semi").join(named.join(several, "hash", "left_semi"), ["hash", "content"]).drop("content")
+    return plain.join(several, "hash", "left_anti").unionByName(whole)
+
+
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
+    """(doc_id, key, identity) of each row; key is common.text_key. Fewer hash_bits are for tests of equal hashes."""
     raw = F.col("text").cast("binary")
     last = F.greatest(F.octet_length("text") - 1, F.lit(0))
-    stats = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(last), F.lit(0))).first()
-    rows, total, longest = stats
+    rows, total, longest = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(last), F.lit(0))).first()
     blocks = F.when(F.col("text").isNull(), F.array(F.lit(None).cast("binary"))).otherwise(
         F.transform(F.sequence(F.lit(0), (last / block_bytes).cast("int")), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
     )
-    cut = docs.select("doc_id", common.text_key("text").alias("key"), F.size(blocks).alias("n"), F.posexplode(blocks).alias("pos", "block"))
-    named = _named(cut, max(1, ceil(total / BUCKET_BYTES)), F.col("block"))
+    hashed = F.when(F.col("content").isNotNull(), F.xxhash64("content") if hash_bits == 64 else F.pmod(F.xxhash64("content"), F.lit(1 << hash_bits))).alias("hash")
+    cut = docs.select("doc_id", common.text_key("text").alias("key"), F.size(blocks).alias("n"), F.posexplode(blocks).alias("pos", "content")).select("*", hashed)
+    contents = docs.filter("text is not null").select(F.explode(blocks).alias("content")).select(hashed, "content")
+    named = _blocks_named(cut, contents, max(1, ceil(total / BUCKET_BYTES)))
     # repeated rows become one from the first pairs on; copies says how many they were
     level = common.written(named.select("doc_id", "key", "n", "pos", "name", F.lit(1).cast("bigint").alias("copies")), "blocks")
     found: DataFrame | None = None
@@ -62,33 +79,35 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             .groupBy("doc_id", "key", ((F.col("n") + 1) / 2).cast("int").alias("n"), (F.col("pos") / 2).cast("int").alias("pos"))
             .agg(F.max(F.when(~right, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(-1)).alias("b"), F.sum(F.when(~right, F.col("copies"))).alias("copies"))
         )
-        named = _named(pairs, max(1, count // BUCKET_ROWS), F.col("a"), F.col("b"))
-        level = common.written(named.select("doc_id", "key", "n", "pos", "name", "copies"), "names")
+        pairs = common.written(pairs, "pairs")
+        names = _names(pairs.select(F.xxhash64("a", "b").alias("hash"), F.struct("a", "b").alias("content")), max(1, count // BUCKET_ROWS))
+        level = common.written(pairs.join(names.select("content.a", "content.b", "name"), ["a", "b"]).select("doc_id", "key", "n", "pos", "name", "copies"), "names")
     return found
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) for each row: the smallest doc_id that has the same text."""
-    found = identities(docs)
-    return found.select("doc_id", F.min("doc_id").over(Window.partitionBy("identity")).alias("kept_doc_id"))
+    found = common.written(identities(docs).select("doc_id", "identity"), "identities")
+    kept = found.groupBy("identity").agg(F.min("doc_id").alias("kept_doc_id"))
+    return found.join(kept, "identity").select("doc_id", "kept_doc_id")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each group of equal texts."""
-    first = Window.partitionBy("identity").orderBy(F.col("doc_id").asc_nulls_last(), "key")
-    keep = identities(docs).withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    return keep_rows(docs, keep)
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    return keep_rows(docs, identities(docs).groupBy("identity").agg(least.alias("row")).select("row._id", "row._key"))
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Of docs one row for each row (_id, _key) of keep: the doc_id and common.text_key of the row to keep.
+    """Of docs one row for each distinct row (_id, _key) of keep: the doc_id and common.text_key of the row to keep.
 
-    Rows meet by one number, so the texts cross the network once, also for dropping repeats.
+    Rows meet by doc_id and 128 bits of the text, and the texts cross the network once, also for dropping repeats.
     """
-    number = lambda i, k: F.xxhash64(F.isnull(i), i, k).alias("_row")
-    rows = docs.select(F.struct("*").alias("row"), number(F.col("doc_id"), common.text_key("text")))
-    wanted = keep.select(number(F.col("_id"), F.col("_key")))
-    return rows.join(wanted.hint("shuffle_merge"), "_row", "left_semi").dropDuplicates(["_row"]).select("row.*")
+    by = ["_none", "_id", "_key"]
+    of = lambda i, k: (F.isnull(i).alias("_none"), F.coalesce(i, F.lit(0)).alias("_id"), k.alias("_key"))
+    rows = docs.select(F.struct("*").alias("row"), *of(F.col("doc_id"), common.text_key("text")))
+    wanted = keep.select(*of(F.col("_id"), F.col("_key")))
+    return rows.join(wanted.hint("shuffle_merge"), by, "left_semi").dropDuplicates(by).select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ parses fall into step again soon after an edit, so near copies keep most phrases
 few. Documents meet by banded signatures, are compared over the whole signatures, and are joined from THRESHOLD on
 (near.py). Every document is a query.
 
-Defined results: NULL, empty and blank texts have no phrases, fingerprint NULL and a group of their own. Repeated
-rows get equal fingerprints and one group, named by its smallest doc_id. An empty table gives no rows.
+Defined results: NULL, empty and blank texts have no phrases, fingerprint NULL and a group of their own. Very long
+texts are parsed whole. Repeated rows get equal fingerprints and one group, named by its smallest doc_id (NULL if all
+are NULL). An empty table gives no rows. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def signed(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n_phrases": counts, "item": items, "signature": rows, "buckets": common.list_array(buckets.ravel(), np.full(len(buckets), BANDS), pa.int64())}
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key("text").alias("key"), "text")
-    return common.map_arrow(slim, run, "doc_id bigint, key bigint, n_phrases int, item bigint, signature binary, buckets array<bigint>")
+    return common.map_arrow(slim, run, "doc_id bigint, key binary, n_phrases int, item bigint, signature binary, buckets array<bigint>")
 
 
 def agreement(pairs: DataFrame, items: DataFrame) -> DataFrame:

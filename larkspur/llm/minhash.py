@@ -6,8 +6,8 @@ into bands; items that share a band meet in a bucket, are compared by the Jaccar
 and are joined from THRESHOLD on; groups are the connected components (near.py). At a similarity of 0.5 two
 documents meet with a chance of 0.78, at 0.6 of 0.98, at 0.7 of 0.9998, and once is enough within a group.
 
-Defined results: NULL, empty and blank texts are near duplicates of nothing. Repeated rows and exact copies are one
-group. Of a group the row of the smallest doc_id stays (NULL last; among rows of one doc_id one of them). An empty
+Defined results: NULL, empty and blank texts are near duplicates of nothing. Very long texts are taken whole, as are
+very long words. Repeated rows and exact copies are one group. Equal sets are known by 64 bits of their hashes' sum. Of a group the row of the smallest doc_id stays (NULL last; among rows of one doc_id one of them). An empty
 table gives no rows. Columns other than doc_id and text are left alone, whatever their names.
 """
 
@@ -63,7 +63,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "item": items, "buckets": common.list_array(table.ravel(), np.full(len(table), BANDS), pa.int64())}
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), common.text_key("text").alias("key"), "text")
-    return common.map_arrow(slim, run, "doc_id bigint, key bigint, item bigint, buckets array<bigint>")
+    return common.map_arrow(slim, run, "doc_id bigint, key binary, item bigint, buckets array<bigint>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -83,15 +83,15 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 def _verifier(docs: DataFrame, items: DataFrame, threshold: float):
     """A function that keeps the pairs (a, b) of items that are similar; the sets are made anew from those texts only."""
-    number = lambda i, k: F.xxhash64(F.isnull(i), i, k).alias("_row")
     store: list[DataFrame] = []
 
     def sets(pairs: DataFrame) -> DataFrame:
         if not store:  # later rounds only have items of the first
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-            rows = items.join(wanted, "item", "left_semi").select("item", number(F.col("doc_id"), F.col("key")))
-            texts = docs.select(number(F.col("doc_id").cast("bigint"), common.text_key("text")), "text")
-            store.append(common.written(_sets(texts.join(rows, "_row").select("item", "text")).dropDuplicates(["item"]), "sets"))
+            rows = items.join(wanted, "item", "left_semi").select("item", F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("key").alias("_key"))
+            doc_id = F.col("doc_id").cast("bigint")
+            texts = docs.select(F.isnull(doc_id).alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id"), common.text_key("text").alias("_key"), "text")
+            store.append(common.written(_sets(texts.join(rows, ["_none", "_id", "_key"]).select("item", "text")).dropDuplicates(["item"]), "sets"))
         return store[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -106,24 +106,23 @@ def _verifier(docs: DataFrame, items: DataFrame, threshold: float):
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, key, kept_doc_id, first) of each row."""
+    """(doc_id, key, item, root) of each row: root is the same in a group of near duplicates, NULL without a set."""
     rows = common.written(_sketched(docs), "sketches")
     first = rows.filter("item is not null").groupBy("item").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "key", "buckets")).alias("r"))
     items = common.written(first.select("item", "r.doc_id", "r.key", "r.buckets"), "items")
     members = items.select(F.explode("buckets").alias("bucket"), "item")
     edges = near.similar_stars(members, _verifier(docs, items.select("item", "doc_id", "key"), threshold))
-    return near.with_kept(near.grouped(rows.select("doc_id", "key", "item"), edges))
+    return near.grouped(rows.select("doc_id", "key", "item"), edges)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of each row: the smallest doc_id of its group of near duplicates."""
-    return groups(docs).select("doc_id", "kept_doc_id")
+    return near.with_kept(groups(docs))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each group of near duplicates."""
-    keep = groups(docs).filter("first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    return keep_rows(docs, keep)
+    return keep_rows(docs, near.kept_rows(groups(docs)))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

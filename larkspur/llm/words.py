@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .common import mix
 
 MUL = np.uint64(0x100000001B3)
+PIECE = 1 << 18
 
 
 class Types(dict):
@@ -39,30 +41,29 @@ def code_blocks(words: list[str]):
 
 
 def word_hash(words: list[str], seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each word, the same everywhere."""
-    out = np.zeros(len(words), np.uint64)
-    for rows, codes, lengths in code_blocks(words):
-        h = np.full(len(rows), seed, np.uint64)
-        for j in range(codes.shape[1]):
-            live = lengths > j
-            if not live.any():
-                break
-            h = np.where(live, (h ^ codes[:, j]) * MUL + np.uint64(j), h)
-        out[rows] = mix(h ^ (lengths.astype(np.uint64) << np.uint64(48)))
-    return out
+    """A 64-bit hash of each word, the same everywhere; one call a word, whatever its length."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
 
 
 def features(words: list[str], buckets: int, grams: tuple[int, ...], affixes: int = 0, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers below buckets of all words end to end, and how many each word has.
 
     Of each word: itself, its character n-grams (with a mark at either end) and its prefixes and suffixes of up
-    to `affixes` characters, each kind hashed with its own seed.
+    to `affixes` characters, each kind hashed with its own seed. Words of more than PIECE characters are cut into
+    pieces that overlap, with the same result, so that work arrays don't grow with the longest word.
     """
     n = len(words)
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     if whole:
         parts.append((np.arange(n), word_hash(words, 3) % np.uint64(buckets)))
-    for rows, codes, lengths in code_blocks(words):
+    short = [i for i, w in enumerate(words) if len(w) <= PIECE]
+    for i in range(n) if len(short) < n else ():
+        if len(words[i]) > PIECE:
+            parts += [(np.full(len(x), i), x) for x in _long_features(words[i], buckets, grams, affixes)]
+    at_short = np.array(short, np.int64)
+    for rows, codes, lengths in code_blocks([words[i] for i in short] if len(short) < n else words):
+        rows = at_short[rows]
         w = codes.shape[1]
         c = np.zeros((len(rows), w + 2), np.uint64)
         c[:, 0] = 2
@@ -95,6 +96,28 @@ def features(words: list[str], buckets: int, grams: tuple[int, ...], affixes: in
     return flat[order], np.bincount(row, minlength=n)
 
 
+def _long_features(word: str, buckets: int, grams: tuple[int, ...], affixes: int):
+    """The feature numbers of one long word but for the word itself, in pieces."""
+    codes = np.frombuffer(word.replace("\0", "\uf8ff").encode("utf-32-le", "surrogatepass"), np.uint32)
+    marked = np.concatenate([np.array([2], np.uint32), codes, np.array([3], np.uint32)])
+    most = max(grams, default=0)
+    for lo in range(0, len(marked), PIECE):
+        c = marked[lo : lo + PIECE + most - 1].astype(np.uint64)
+        h = np.full(len(c), 11, np.uint64)
+        for k in range(1, most + 1):
+            m = len(c) - k + 1
+            if m <= 0:
+                break
+            h = h[:m] * MUL + c[k - 1 : k - 1 + m]
+            if k in grams:
+                yield mix(h[:PIECE] + np.uint64(k << 32)) % np.uint64(buckets)
+    pre, suf = np.full(1, 5, np.uint64), np.full(1, 6, np.uint64)
+    for k in range(1, affixes + 1):
+        pre, suf = pre * MUL + codes[k - 1 : k].astype(np.uint64), suf * MUL + codes[len(codes) - k : len(codes) - k + 1].astype(np.uint64)
+        for kind, x in ((1, pre), (2, suf)):
+            yield mix(x + np.uint64(kind << 40 | k << 32)) % np.uint64(buckets)
+
+
 def sums(table: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Per word the sum of table's rows at its features."""
     out = np.zeros((len(counts), table.shape[1]), np.float64)

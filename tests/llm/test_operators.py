@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from larkspur.llm import exact_dedup, html, langid, lm, lz, minhash, mixing, near, packing, quality, secrets
+from larkspur.llm import exact_dedup, html, langid, lm, lz, minhash, mixing, near, packing, quality, secrets, words
 from larkspur.llm.sketch import fast_sketches
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,22 @@ def test_block_names_are_identities(spark, block):
         assert (names[i] == names[j]) == (texts[i] == texts[j])
 
 
+def test_blocks_of_one_hash_are_told_apart(spark):
+    texts = [None, "", *("t%d" % (i % 30) * (1 + i % 7) for i in range(90)), None]
+    found = exact_dedup.identities(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), 4, hash_bits=2).collect()
+    names = {r["doc_id"]: r["identity"] for r in found}
+    assert len(found) == len(names) == len(texts)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert (names[i] == names[j]) == (texts[i] == texts[j])
+
+
+def test_rows_without_a_doc_id_are_told_apart(spark):
+    texts = ["abc" * 3000, "abc" * 3000, "abc" * 3000 + "d", None, "", None]
+    data = table(spark, [(None, t, None, None, None) for t in texts])
+    assert Counter(r["text"] for r in exact_dedup.drop_copies(data).collect()) == Counter(set(texts))
+    assert exact_dedup.exact_copies(data).filter("kept_doc_id is null").count() == 6
+
+
 def test_exact_dedup_on_awkward_rows(spark, awkward):
     got = [(r["doc_id"], r["kept_doc_id"]) for r in exact_dedup.exact_copies(awkward).collect()]
     assert len(got) == 14 and (6, 5) in got and got.count((1, 1)) == 2 and (None, 1) in got
@@ -178,6 +194,25 @@ def test_fast_sketches_estimate_jaccard():
         assert abs((s[0] == s[1]).mean() - j) < 0.06
 
 
+def test_long_words_take_no_loop_over_characters():
+    import time
+
+    word = "".join(map(chr, np.random.default_rng(8).integers(97, 1000, 1_000_000)))
+    began = time.time()
+    assert len(set(words.word_hash([word, word + "a", "a" + word, word]).tolist())) == 3
+    assert time.time() - began < 0.1
+    piece, words.PIECE = words.PIECE, 5
+    try:
+        some = ["abcdefghijklmnopq", "\0b\0" * 4, "kurz", "éàü𝒳xyzabc"]
+        cut = words.features(some, 1 << 17, (1, 2, 3), affixes=4)
+    finally:
+        words.PIECE = piece
+    whole = words.features(some, 1 << 17, (1, 2, 3), affixes=4)
+    assert (cut[1] == whole[1]).all()
+    at = np.cumsum(whole[1]) - whole[1]
+    assert all(sorted(cut[0][a : a + n]) == sorted(whole[0][a : a + n]) for a, n in zip(at, whole[1]))
+
+
 # 10 Lempel-Ziv
 def lz_sets(texts):
     out = []
