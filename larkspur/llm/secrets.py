@@ -1,9 +1,11 @@
 """Secret scans: a character convolutional network in numpy over every candidate and its context.
 
 Candidates are all runs of SHORTEST or more key characters that have a digit, values of 8 characters or more
-after a word like "password" or "token" and a sign of assignment, and headers of private keys. Each is read through
-a window of its characters and those around it: learned character vectors with a mark for before, inside and after;
-WIDTH-wide filters with ReLU; the maximum of each filter over each of the three parts; a logistic layer.
+after a word like "password" or "token" and a sign of assignment, and headers of private keys. Each is read whole,
+with the BEFORE and AFTER characters around it: learned character vectors with a mark for before, inside and after;
+WIDTH-wide filters with ReLU; the maximum of each filter over each of the three parts; a logistic layer. The maximum
+takes any length, so every character of a long candidate is convolved, in pieces of PIECE positions; candidates of
+like length are read together, and padding never counts.
 
 It is trained on labelled findings: keys, tokens and passwords of public formats with random characters (positive),
 and words, numbers, checksums, commit ids, addresses, file names and versions (negative), set into contexts cut from
@@ -11,7 +13,8 @@ a sample of at most about SAMPLE_DOCS documents. Of a held-out third, one half f
 curve over the logit), and the threshold is the largest calibrated probability with a recall of RECALL on both.
 
 Defined results: NULL and empty texts have no findings; an empty table gives no rows. Repeated rows each have their
-findings. Positions count characters from 0. The secret itself isn't returned, but its first 4 characters. Other
+findings, as have rows without a doc_id. Very long texts and candidates are read whole. A probability that equals the
+threshold is a finding. Positions count characters from 0. The secret itself isn't returned, but its first 4 characters. Other
 columns are ignored.
 """
 
@@ -30,9 +33,10 @@ SHORTEST = 16
 SAMPLE_DOCS = 400
 FINDINGS = 6000
 RECALL = 0.99
-BEFORE, INSIDE, AFTER = 24, 56, 12
-SIZE = BEFORE + INSIDE + AFTER
+BEFORE, AFTER = 24, 12
+INSIDE, SHORT = 128, 56  # room for a candidate and its padding: of labelled findings, and of the shortest class
 CHARS, FILTERS, WIDTH = 8, 32, 5
+PIECE = 4096
 SCHEMA = "doc_id bigint, first int, last int, preview string, probability double"
 
 _KEY = r"A-Za-z0-9_\-+/=.~"
@@ -55,20 +59,17 @@ _CODE[[9, 10, 11, 12, 13, 32]] = 1
 ALPHABET = 3 + 10 + 52 + 32
 
 
-def windows(found: list[tuple[str, int, int]]) -> np.ndarray:
-    """Character numbers of each candidate (text, first, last + 1): before, inside (both ends if long), after."""
-    rows = []
-    for text, lo, hi in found:
-        inside = text[lo:hi] if hi - lo <= INSIDE else text[lo : lo + INSIDE - 16] + text[hi - 16 : hi]
-        rows.append(text[max(0, lo - BEFORE) : lo].rjust(BEFORE, "\0") + inside.ljust(INSIDE, "\0") + text[hi : hi + AFTER].ljust(AFTER, "\0"))
-    codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, SIZE)
+def windows(found: list[tuple[str, int, int]], inside: int = INSIDE) -> np.ndarray:
+    """Character numbers of each candidate (text, first, last + 1): before, inside (at most inside - WIDTH // 2), after."""
+    rows = [text[max(0, lo - BEFORE) : lo].rjust(BEFORE, "\0") + text[lo:hi].ljust(inside, "\0") + text[hi : hi + AFTER].ljust(AFTER, "\0") for text, lo, hi in found]
+    codes = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, BEFORE + inside + AFTER)
     out = _CODE[np.minimum(codes, 0xFFFF)]
     out[codes == 0] = 0
     return out
 
 
-_PART = np.repeat([0, 1, 2], [BEFORE, INSIDE, AFTER])
-_STARTS = [0, BEFORE, BEFORE + INSIDE]
+def _parts(size: int) -> list[tuple[int, int]]:
+    return [(0, BEFORE), (BEFORE, size - AFTER), (size - AFTER, size)]
 
 
 class Network:
@@ -80,35 +81,54 @@ class Network:
         self.bias = np.zeros(1, np.float32)
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
-    def _columns(self, codes: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(codes), SIZE + WIDTH - 1, CHARS + 3), np.float32)
-        x[:, WIDTH // 2 : WIDTH // 2 + SIZE, :CHARS] = self.char[codes] * (codes > 0)[:, :, None]
-        x[:, WIDTH // 2 : WIDTH // 2 + SIZE, CHARS:] = np.eye(3, dtype=np.float32)[_PART]
-        return np.concatenate([x[:, j : j + SIZE] for j in range(WIDTH)], 2)
+    def _columns(self, codes: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """What the filters see at the positions from lo to hi: WIDTH characters with their marks, end to end."""
+        n, size, half = len(codes), codes.shape[1], WIDTH // 2
+        x = np.zeros((n, hi - lo + WIDTH - 1, CHARS + 3), np.float32)
+        first, last = max(0, lo - half), min(size, hi + half)
+        seen = codes[:, first:last]
+        at = slice(first - lo + half, last - lo + half)
+        x[:, at, :CHARS] = self.char[seen] * (seen > 0)[:, :, None]
+        x[:, at, CHARS:] = np.eye(3, dtype=np.float32)[np.repeat([0, 1, 2], [b - a for a, b in _parts(size)])[first:last]]
+        return np.concatenate([x[:, j : j + hi - lo] for j in range(WIDTH)], 2)
+
+    def _act(self, codes: np.ndarray, lo: int, hi: int, keep: bool = False):
+        col = self._columns(codes, lo, hi)
+        act = np.maximum(col.reshape(-1, col.shape[2]) @ self.filters + self.floor, 0).reshape(len(codes), hi - lo, FILTERS)
+        act *= (codes[:, lo:hi] > 0)[:, :, None]
+        return (col, act) if keep else act
 
     def logits(self, codes: np.ndarray, keep: bool = False):
-        col = self._columns(codes)
-        act = np.maximum(col.reshape(-1, col.shape[2]) @ self.filters + self.floor, 0).reshape(len(codes), SIZE, FILTERS)
-        top = np.concatenate([act[:, lo : lo + n].max(1) for lo, n in zip(_STARTS, (BEFORE, INSIDE, AFTER))], 1)
+        size = codes.shape[1]
+        if keep:
+            col, act = self._act(codes, 0, size, True)
+            top = np.concatenate([act[:, a:b].max(1) for a, b in _parts(size)], 1)
+        else:
+            top = np.zeros((len(codes), 3 * FILTERS), np.float32)
+            for part, (a, b) in enumerate(_parts(size)):
+                best = top[:, part * FILTERS : (part + 1) * FILTERS]
+                for lo in range(a, b, PIECE):
+                    np.maximum(best, self._act(codes, lo, min(lo + PIECE, b)).max(1), out=best)
         z = top @ self.out + self.bias[0]
         return (z, col, act, top) if keep else z
 
     def gradients(self, codes: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         z, col, act, top = self.logits(codes, True)
+        size = codes.shape[1]
         dz = (1 / (1 + np.exp(-z)) - y).astype(np.float32) / len(y)
         dtop = dz[:, None] * self.out
         dact = np.zeros_like(act)
         n = np.arange(len(codes))[:, None]
-        for part, (lo, size) in enumerate(zip(_STARTS, (BEFORE, INSIDE, AFTER))):
-            best = act[:, lo : lo + size].argmax(1) + lo
+        for part, (lo, hi) in enumerate(_parts(size)):
+            best = act[:, lo:hi].argmax(1) + lo
             dact[n, best, np.arange(FILTERS)] = dtop[:, part * FILTERS : (part + 1) * FILTERS]
         dact *= act > 0
         flat = dact.reshape(-1, FILTERS)
-        dcol = (flat @ self.filters.T).reshape(len(codes), SIZE, WIDTH, CHARS + 3)
+        dcol = (flat @ self.filters.T).reshape(len(codes), size, WIDTH, CHARS + 3)
         dchar = np.zeros_like(self.char)
         for j in range(WIDTH):
             shift = j - WIDTH // 2
-            lo, hi = max(0, -shift), min(SIZE, SIZE - shift)
+            lo, hi = max(0, -shift), min(size, size - shift)
             seen = codes[:, lo + shift : hi + shift]
             grad = dcol[:, lo:hi, j, :CHARS]
             for c in range(CHARS):
@@ -117,10 +137,25 @@ class Network:
         return [(self.char, dchar), (self.filters, col.reshape(-1, col.shape[2]).T @ flat), (self.floor, flat.sum(0)), (self.out, top.T @ dz), (self.bias, dz.sum(keepdims=True))]
 
     def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        parts = [self.logits(codes[k : k + 512]) for k in range(0, len(codes), 512)]
+        step = max(1, 512 * SHORT // codes.shape[1])
+        parts = [self.logits(codes[k : k + step]) for k in range(0, len(codes), step)]
         z = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
         return 1 / (1 + np.exp(-(self.slope * z + self.shift)))
 
+    def judged(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """The probability of each candidate (text, first, last + 1), of any length."""
+        out, width = np.zeros(len(found)), SHORT
+        length = np.fromiter((hi - lo for _, lo, hi in found), np.int64, len(found)) + WIDTH // 2
+        left = np.ones(len(found), bool)
+        while left.any():
+            rows = np.flatnonzero(left & (length <= width))
+            step = max(1, (1 << 22) // width)
+            for k in range(0, len(rows), step):
+                out[rows[k : k + step]] = self.probabilities(windows([found[r] for r in rows[k : k + step]], width))
+            left[rows] = False
+            width *= 2
+        return out
+
 
 def labelled_findings(texts: list[str], n: int, rng: np.random.Generator) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """Secrets and look-alikes by construction, in contexts cut from texts."""
@@ -255,7 +290,7 @@ def findings(docs: DataFrame, net: Network) -> DataFrame:
                 rows.append(i)
         if not found:
             return None
-        p = shared.value.probabilities(windows(found))
+        p = shared.value.judged(found)
         good = np.flatnonzero(p >= shared.value.threshold)
         return {
             "doc_id": batch.column("doc_id").take(np.array(rows)[good]), "first": [found[g][1] for g in good], "last": [found[g][2] - 1 for g in good],
