@@ -4,12 +4,12 @@ Texts are cut into blocks of fixed size. Equal blocks get one integer name by so
 form pairs, which are sorted and named in turn, until one name is left of each document: its identity. Two
 documents have one identity if and only if their bytes are the same; no hash decides.
 
-A name is rank * buckets + bucket: a hash of the block only spreads the sorting over tasks, the rank is the block's
-place among the distinct blocks of its bucket, compared whole. Each task first reduces its blocks to distinct ones,
-so a block that a third of all rows have crosses the network once a task. The rows then look their names up without
-their blocks: by the blocks' 64-bit hash where all blocks of that hash are known to be equal, else by the blocks
-themselves; pairs by their two names. Every level halves the blocks, documents leave when one name is left, and each
-level is written to the shared folder.
+A name is rank * buckets + bucket: the rank is the place among the distinct blocks of a bucket of hashes, sorted by
+hash and block. Each task first reduces its blocks to distinct ones, compared whole, so a block that a third of all
+rows have crosses the network once a task. Where a hash has one block, as nearly always, the blocks needn't move again:
+the hashes are ranked, and the rows look their names up by hash. Where it has several, blocks are ranked and looked up
+whole, into names below 0. Pairs are ranked by their two names and looked up by them. Every level halves the blocks,
+documents leave when one name is left, and each level is written to the shared folder.
 
 Defined results: NULL text is one content of its own, apart from the empty text. Repeated rows of any length are
 copies of each other and stay rows; of a group the row of the smallest doc_id stays (NULL last), and one of them if
@@ -22,32 +22,33 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 BLOCK_BYTES = 4096
-BUCKET_BYTES = 4 << 20
 BUCKET_ROWS = 100_000
 
 
-def _names(contents: DataFrame, buckets: int) -> DataFrame:
-    """(hash, content, name) of the distinct contents of (hash, content): an integer above 0 for each."""
-    sets = contents.groupBy(F.pmod("hash", F.lit(buckets)).alias("bucket")).agg(F.sort_array(F.collect_set(F.struct("content", "hash"))).alias("all"))
-    each = sets.select("bucket", F.posexplode("all").alias("rank", "c"))
-    return each.select("c.hash", "c.content", ((F.col("rank") + 1).cast("bigint") * buckets + F.col("bucket")).alias("name"))
+def _ranked(distinct: DataFrame, buckets: int, *order: str) -> DataFrame:
+    """distinct rows with a hash, and `name`: an integer above 0 for each, by sorting the rows of a bucket of hashes."""
+    rows = distinct.withColumn("_bucket", F.pmod("hash", F.lit(buckets)))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return rows.withColumn("name", rank.cast("bigint") * buckets + F.col("_bucket")).drop("_bucket")
 
 
 def _blocks_named(cut: DataFrame, blocks: DataFrame, buckets: int) -> DataFrame:
     """cut (hash, content, ...) with the name of content, 0 if it is NULL; blocks has the contents that aren't NULL."""
-    named = _names(blocks, buckets)
-    by_hash = common.written(named.groupBy("hash").agg(F.min("name").alias("name"), F.count("*").alias("kinds")), "names")
-    plain = cut.drop("content").join(by_hash.filter("kinds = 1").drop("kinds"), "hash", "left").withColumn("name", F.coalesce("name", F.lit(0)))
-    if not by_hash.filter("kinds > 1").count():
+    distinct = blocks.select("hash", "content").distinct()
+    kinds = common.written(distinct.groupBy("hash").agg(F.count("*").alias("kinds")), "hashes")
+    names = _ranked(kinds.filter("kinds = 1").select("hash"), buckets, "hash")
+    plain = cut.drop("content").join(names, "hash", "left").withColumn("name", F.coalesce("name", F.lit(0)))
+    several = kinds.filter("kinds > 1").select("hash")
+    if several.isEmpty():
         return plain
-    several = by_hash.filter("kinds > 1").select("hash")
-    whole = cut.join(several, "hash", "left_semi").join(named.join(several, "hash", "left_semi"), ["hash", "content"]).drop("content")
+    own = _ranked(distinct.join(several, "hash", "left_semi"), buckets, "hash", "content").withColumn("name", -F.col("name"))
+    whole = cut.join(several, "hash", "left_semi").join(own, ["hash", "content"]).drop("content")
     return plain.join(several, "hash", "left_anti").unionByName(whole)
 
 
@@ -62,7 +63,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
     hashed = F.when(F.col("content").isNotNull(), F.xxhash64("content") if hash_bits == 64 else F.pmod(F.xxhash64("content"), F.lit(1 << hash_bits))).alias("hash")
     cut = docs.select("doc_id", common.text_key("text").alias("key"), F.size(blocks).alias("n"), F.posexplode(blocks).alias("pos", "content")).select("*", hashed)
     contents = docs.filter("text is not null").select(F.explode(blocks).alias("content")).select(hashed, "content")
-    named = _blocks_named(cut, contents, max(1, ceil(total / BUCKET_BYTES)))
+    named = _blocks_named(cut, contents, max(1, ceil((rows + total / block_bytes) / BUCKET_ROWS)))
     # repeated rows become one from the first pairs on; copies says how many they were
     level = common.written(named.select("doc_id", "key", "n", "pos", "name", F.lit(1).cast("bigint").alias("copies")), "blocks")
     found: DataFrame | None = None
@@ -80,8 +81,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int =
             .agg(F.max(F.when(~right, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(right, F.col("name"))), F.lit(-1)).alias("b"), F.sum(F.when(~right, F.col("copies"))).alias("copies"))
         )
         pairs = common.written(pairs, "pairs")
-        names = _names(pairs.select(F.xxhash64("a", "b").alias("hash"), F.struct("a", "b").alias("content")), max(1, count // BUCKET_ROWS))
-        level = common.written(pairs.join(names.select("content.a", "content.b", "name"), ["a", "b"]).select("doc_id", "key", "n", "pos", "name", "copies"), "names")
+        names = _ranked(pairs.select(F.xxhash64("a", "b").alias("hash"), "a", "b").distinct(), max(1, count // BUCKET_ROWS), "a", "b")
+        level = common.written(pairs.join(names.drop("hash"), ["a", "b"]).select("doc_id", "key", "n", "pos", "name", "copies"), "names")
     return found
 
 
