@@ -72,24 +72,28 @@ def text_key(text: Column | str) -> Column:
     return F.coalesce(F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"))), F.lit(b""))
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow for a function from a pyarrow RecordBatch to a dict of columns (or None for no rows)."""
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    ready(df.sparkSession)
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
-    arrow = to_arrow_schema(kind)
+    return to_arrow_schema(kind)
+
+
+def map_arrow(df: DataFrame, fn, schema: str, rows: int = 2048) -> DataFrame:
+    """mapInArrow for a function from a pyarrow RecordBatch of up to `rows` to a dict of columns (or None for no rows)."""
+    ready(df.sparkSession)
+    arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                out = fn(batch.slice(lo, 2048))
+            for lo in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(lo, rows))
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return df.mapInArrow(run, schema)
 
 
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -388,39 +388,103 @@ def test_lm_on_awkward_rows(awkward, docs):
 
 
 # 4 packing
-def brute_packs(texts, window):
+def bm25(texts):
+    """A function from two places in texts to the BM25 of the second for the words of the first."""
     toks = [(t or "").lower().split() for t in texts]
     n, mean = len(toks), max(sum(map(len, toks)) / max(1, len(toks)), 1e-9)
     df = Counter(w for t in toks for w in set(t))
-    unused, out = list(range(n)), []
+    tf = [Counter(t) for t in toks]
+
+    def score(q, d):
+        return sum(math.log(1 + (n + 0.5 - df[w]) / (0.5 + df[w])) * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean)) for w in tf[q].keys() & tf[d].keys())
+
+    return score, [len(t) for t in toks]
+
+
+def brute_packs(texts, window, among):
+    """Packs of the places `among`, by greedy search among themselves."""
+    (score, n), unused, out = bm25(texts), list(among), []
     while unused:
         seed = unused.pop(0)
-        windows = max(1, -(-len(toks[seed]) // window))
-        left, pack = windows * window - len(toks[seed]), [seed]
-        scored = []
-        for d in unused if toks[seed] else []:
-            s = 0.0
-            for w in set(toks[seed]) & set(toks[d]):
-                tf = toks[d].count(w)
-                s += math.log(1 + (n + 0.5 - df[w]) / (0.5 + df[w])) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
-            if s > 0:
-                scored.append((-round(s, 6), d))
-        for _, d in sorted(scored):
-            if 0 < len(toks[d]) <= left:
-                left -= len(toks[d])
+        windows = max(1, -(-n[seed] // window))
+        left, pack = windows * window - n[seed], [seed]
+        scored = [(-round(score(seed, d), 6), d) for d in unused if 0 < n[d] <= left]
+        for s, d in sorted(scored):
+            if s < 0 and n[d] <= left:
+                left -= n[d]
                 pack.append(d)
                 unused.remove(d)
         out.append(pack)
     return out
 
 
-def test_packing_against_brute_force(rows):
+def brute_seed_packs(ids, texts, window):
+    """seed -> its documents, by full search, offers and answers."""
+    score, n = bm25(texts)
+    seeds = [i for i, d in enumerate(ids) if d is not None and d % packing.SEED_EVERY == 0 and n[i]]
+    room, wish = {}, {}
+    for s in seeds:
+        room[s], upto = -n[s] % window, 0
+        found = sorted((-round(score(s, d), 6), ids[d] is None, ids[d] or 0, d) for d in range(len(ids)) if d not in seeds and 0 < n[d] <= room[s])
+        for x, *_, d in found:
+            if x < 0 and upto < packing.ASK * room[s]:
+                wish[s, d] = -x
+                upto += n[d]
+    got, own = {s: [] for s in seeds}, {s: score(s, s) for s in seeds}
+    while wish:
+        offers = {}
+        for (s, d), x in wish.items():
+            offers[d] = max(offers.get(d, (-1, 0, 0)), (round(x / own[s], 9), -ids[s], s))
+        answers = set()
+        for d, (_, _, s) in sorted(offers.items(), key=lambda o: (-wish[o[1][2], o[0]], ids[o[0]] is None, ids[o[0]] or 0, o[0])):
+            answers.add((s, d))
+            if n[d] <= room[s]:
+                room[s] -= n[d]
+                got[s].append(d)
+        used = {d for docs in got.values() for d in docs}
+        wish = {(s, d): x for (s, d), x in wish.items() if (s, d) not in answers and d not in used and n[d] <= room[s]}
+    order = lambda s: sorted(got[s], key=lambda d: (-round(score(s, d), 6), ids[d] is None, ids[d] or 0, d))
+    return {s: order(s) for s in seeds}
+
+
+def test_packing_within_a_shard_against_brute_force(rows):
     texts = [r["text"] for r in rows[:120]] + [None, "", rows[3]["text"], rows[3]["text"]]
+    types = words.Types()
+    tokens = [types.ids(t.lower() if t else t) for t in texts]
+    row = packing.shard_row(0, list(range(len(texts))), tokens, types)
+    row["df"] = [np.diff(np.frombuffer(row["first"], np.int32)).astype(np.uint32).tobytes()]
+    shard = packing.Shard(row, len(texts), sum(map(len, tokens)) / len(texts))
+    used = np.arange(len(texts)) % 7 == 0
     got = defaultdict(list)
-    for seed, part, doc, at, windows, score in packing.packed(texts, 900):
-        assert at == sum(len((texts[d] or "").split()) for d in got[seed])
+    for seed, part, doc, at, windows, score in packing.packed(shard, used, 900):
+        assert at == sum(len((texts[d] or "").split()) for d in got[seed]) and part == len(got[seed])
         got[seed].append(doc)
-    assert list(got.values()) == brute_packs(texts, 900)
+    assert list(got.values()) == brute_packs(texts, 900, np.flatnonzero(~used).tolist())
+
+
+@pytest.mark.parametrize("parts, block", [(1, packing.BLOCK_WORDS), (5, 300)])
+def test_packing_against_brute_force(spark, rows, monkeypatch, parts, block):
+    monkeypatch.setattr(packing, "BLOCK_WORDS", block)
+    monkeypatch.setattr(packing, "CHUNK_WORDS", 5000)
+    some = rows[:150]
+    ids = [r["doc_id"] for r in some] + [None, 1000, 1001, 40, None]
+    texts = [r["text"] for r in some] + [None, "", some[3]["text"], some[5]["text"], some[20]["text"]]
+    docs = table(spark, [(i, t, None, None, None) for i, t in zip(ids, texts)]).coalesce(1)
+    docs = docs if parts == 1 else docs.repartition(parts)
+    out = packing.packs(docs, window=900, shard_docs=1000 if parts == 1 else 20).collect()
+    packs = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["pack_id"], r["part"])):
+        assert r["part"] == len(packs[r["pack_id"]]) and r["starts_at"] == sum(x["n_tokens"] for x in packs[r["pack_id"]])
+        packs[r["pack_id"]].append(r)
+    seeded = brute_seed_packs(ids, texts, 900)
+    of = lambda pack: tuple((ids[d], len((texts[d] or "").split())) for d in pack)
+    want = Counter(of([s, *docs]) for s, docs in seeded.items())
+    got = Counter(tuple((r["doc_id"], r["n_tokens"]) for r in p) for p in packs.values())
+    assert sum(map(len, seeded.values())) > 10 and not want - got
+    assert Counter(r["doc_id"] for r in out) == Counter(ids)
+    if parts == 1:
+        rest = [i for i in range(len(ids)) if i not in seeded and not any(i in d for d in seeded.values())]
+        assert got == want + Counter(of(p) for p in brute_packs(texts, 900, rest))
 
 
 def test_packing_on_awkward_rows(spark, awkward, docs):
@@ -431,8 +495,11 @@ def test_packing_on_awkward_rows(spark, awkward, docs):
         used[r["pack_id"]] += r["n_tokens"]
     assert all(used[r["pack_id"]] <= 50 * r["windows"] for r in got if r["part"] == 0)
     assert packing.packs(docs.limit(0)).count() == 0
-    one = sorted(r[:] for r in packing.packs(docs, shard_docs=50).collect())
-    assert one == sorted(r[:] for r in packing.packs(docs.repartition(7), shard_docs=50).collect())
+    nulls = table(spark, [(None, None, None, None, None), (20, "", None, None, None), (None, "a b", None, None, None)])
+    assert sorted((r["n_tokens"], r["part"]) for r in packing.packs(nulls).collect()) == [(0, 0), (0, 0), (2, 0)]
+    seeded = lambda df: {tuple(sorted((r["part"], r["doc_id"]) for r in df if r["pack_id"] == s["pack_id"])) for s in df if s["part"] == 0 and s["doc_id"] % packing.SEED_EVERY == 0}
+    one = seeded(packing.packs(docs, shard_docs=50).collect())
+    assert len(one) == 10 and one == seeded(packing.packs(docs.repartition(7), shard_docs=50).collect())
 
 
 # 6 mixing

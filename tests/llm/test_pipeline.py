@@ -10,7 +10,7 @@ import numpy as np
 import corpus_pipeline
 from larkspur.llm import langid, mixing, packing
 
-from .test_operators import awkward, components, docs, jaccard_pairs, rows, shingle_sets  # noqa: F401
+from .test_operators import awkward, brute_seed_packs, components, docs, jaccard_pairs, rows, shingle_sets  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,11 +36,19 @@ def test_pipeline_against_brute_force(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in left)
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {r["doc_id"]: len(r["text"].split()) for r in left}
-    # one shard: its packing in the order of the hash
-    order = {r["doc_id"]: i for i, r in enumerate(spark.createDataFrame([(r["doc_id"],) for r in left], "doc_id bigint").orderBy(packing.F.xxhash64(packing.F.isnull("doc_id"), "doc_id", packing.F.lit(43))).collect())}
-    left.sort(key=lambda r: order[r["doc_id"]])
-    want = {left[d]["doc_id"]: (s, p, a) for s, p, d, a, _, _ in packing.packed([r["text"] for r in left], packing.WINDOW)}
-    assert {r["doc_id"]: (int(r["pack_id"].split("-")[1]), r["part"], r["starts_at"]) for r in got} == want
+    want = brute_seed_packs([r["doc_id"] for r in left], [r["text"] for r in left], packing.WINDOW)
+    packs = defaultdict(list)
+    for r in got:
+        packs[r["pack_id"]].append((r["part"], r["doc_id"]))
+    assert all([d for _, d in sorted(p)] in packs_of(left, want) for p in packs.values() if min(p)[1] % packing.SEED_EVERY == 0) and want
+    size = Counter()
+    for r in got:
+        size[r["pack_id"]] += r["n_tokens"]
+    assert all(size[r["pack_id"]] <= packing.WINDOW * r["windows"] for r in got)
+
+
+def packs_of(left, want):
+    return [[left[s]["doc_id"], *(left[d]["doc_id"] for d in docs)] for s, docs in want.items()]
 
 
 def test_mixing_stage_against_brute_force(spark):
