@@ -1,239 +1,228 @@
-"""Language-model scoring by a weighted backoff automaton over byte n-grams.
+"""Language-model scoring by a weighted backoff automaton over word n-grams, kept in parts.
 
-The n-grams of up to ORDER symbols of all documents are counted, in one pass and one shuffle of partial counts.
-Symbols are the UTF-8 bytes of the lower-case text; digits count as '0' and white space as ' '; a text has
-ORDER - 1 start marks before it and one end mark behind it. Absolute discounting smooths the counts:
+Symbols are words (lower case, split at white space); a text has two start marks before it and an end mark behind it.
+All n-grams of up to ORDER symbols of the whole corpus are counted, without a cutoff, and smoothed by a Dirichlet prior
+of PRIOR symbols that follow the shorter history's distribution:
 
-    p(c | h) = max(n(hc) - D, 0) / n(h) + D * kinds(h) / n(h) * p(c | h without its first symbol),
+    p(c | h) = (n(hc) + PRIOR * p(c | h without its first symbol)) / (n(h) + PRIOR),
 
-down to a uniform distribution over all symbols. The automaton has a state for each history h, an arc (to state,
-log p) for each seen hc, and a failure arc to the shorter history whose weight is log(D * kinds(h) / n(h)). One
-traversal from left to right carries the state and adds up log-probabilities: an arc if there is one, else failure
-arcs until there is. Where states x symbols fit DENSE_CELLS, failure arcs are followed ahead for every cell, else
-while scoring; the results are the same. Texts are traversed in blocks side by side, each block from the state that
-the symbols before it lead to, since ORDER - 1 symbols determine the state.
+down to a uniform distribution over the corpus' words, the end mark and one unknown word. The automaton has a state
+for each seen history h, an arc for each seen hc, which leads to the longest seen history that ends hc, and a failure
+arc from h to the shorter history with weight log(PRIOR / (n(h) + PRIOR)). One traversal from left to right carries
+the state and adds up log-probabilities: the arc's if there is one, else failure arcs' until there is. The last
+ORDER - 1 symbols determine the state, so all places of a text are followed at once.
 
-The automaton's size depends on the kinds of n-grams, not on the number of documents; it goes to each worker. The
-counts come from the whole corpus, so what is gathered grows with the input.
+A document of the corpus is scored by the automaton of all others: what it counts itself is taken off its arcs and
+states, else its own n-grams would make any text likely. A copy is another document.
+
+No task or driver holds the automaton. A chunk of documents (about CHUNK_WORDS words, as each task reads them) is kept
+as numbers of words; its distinct n-grams, as sorted 64-bit hashes with their counts, go to parts by ranges of the
+hash; a part of about PART_GRAMS hashes adds up and answers each chunk with the corpus' counts, in the chunk's order.
+So a frequent n-gram is one number a chunk, parts are even, and what is gathered grows with the input. Nothing is
+broadcast.
 
 Defined results: NULL text has no score (NULLs). The empty text is one end mark. Repeated rows count and are scored
-each for itself. An empty table gives no rows. Other columns are left alone.
+each for itself, as are rows without a doc_id. Very long texts are scored whole, in a chunk of their own if need be.
+In a corpus of one document its words are unknown. An empty table gives no rows. Other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .words import Types, word_hash
 
-ORDER = 4
-DISCOUNT = 0.75
-DENSE_CELLS = 1 << 26
-BLOCK = 256
-START, END = 254, 255  # bytes that UTF-8 never uses
-
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("0") : ord("9") + 1] = ord("0")
-_FOLD[[9, 10, 11, 12, 13, 28, 29, 30, 31]] = ord(" ")
+ORDER = 3
+PRIOR = 2.0
+CHUNK_WORDS = 2_000_000
+PART_GRAMS = 2_000_000
+CHUNK = "chunk bigint, ids array<bigint>, lengths array<int>, types binary, words binary"
+_MARKS = np.array([0x5354415254303030, 0x5354415254303031, 0x454E443030303030], np.uint64)  # starts, end
+_CODEC = pa.Codec("zstd")
 
 
-def symbols(text: str) -> np.ndarray:
-    return _FOLD[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
+def squeezed(x: np.ndarray) -> bytes:
+    """An array of integers, its bytes sorted by their place and compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
 
 
-def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Start marks, symbols and end mark of each text end to end, and the lengths without the start marks."""
-    parts, lengths = [], []
-    head, tail = np.full(ORDER - 1, START, np.uint8), np.array([END], np.uint8)
-    for t in texts:
-        s = symbols(t)
-        parts += [head, s, tail]
-        lengths.append(len(s) + 1)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.array(lengths, np.int64)
+def opened(cell: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(cell[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-def grams(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the ORDER-grams of a stream of joined texts that end in a symbol or end mark, and their counts."""
-    m = len(stream) - ORDER + 1
-    if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = np.zeros(m, np.uint32)
-    for j in range(ORDER):
-        code = code << np.uint32(8) | stream[j : j + m]
-    code = np.sort(code[stream[ORDER - 1 :] != START])
-    at = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    return code[at].astype(np.int64), np.diff(np.append(at, len(code)))
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Documents in chunks: their words' numbers end to end, the hash of each number; NULL texts have length -1."""
 
-
-def counted(docs: DataFrame) -> DataFrame:
-    """(code, n): how often each ORDER-gram is in all documents."""
+    def row(number, ids, lengths, words, types):
+        flat = np.concatenate(words)
+        by_use = np.argsort(-np.bincount(flat, minlength=len(types)), kind="stable")
+        rank = np.empty(len(types), np.uint32)
+        rank[by_use] = np.arange(len(types), dtype=np.uint32)
+        cells = (number, ids, lengths, squeezed(word_hash(list(types))[by_use]), squeezed(rank[flat]))
+        return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(cells, arrow)], schema=arrow)
 
     def run(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        number, ids, lengths, words, types, size = pyspark.TaskContext.get().partitionId() << 20, [], [], [], Types(), 0
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t is not None]
-            size, group = 0, []
-            for i, t in enumerate(texts):
-                group.append(t)
-                size += len(t)
-                if size > 4_000_000 or i == len(texts) - 1:
-                    kept.append(grams(joined(group)[0]))
-                    size, group = 0, []
-            if len(kept) >= 16:
-                kept = [_merged(kept)]
-        if kept:
-            code, n = _merged(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-    common.ready(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return code, np.bincount(at, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
-
-
-class Automaton:
-    """States are numbered; state 0 is the empty history. Arcs are sorted by state * 256 + symbol."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        code, n = code.astype(np.int64), n.astype(np.float64)
-        self.kinds = 255  # all bytes but the start mark
-        by_length = []  # histories of each length: codes, totals, kinds; arcs: gram codes, counts
-        for k in range(1, ORDER + 1):
-            gram, at = np.unique(code & (256**k - 1), return_inverse=True)
-            count = np.bincount(at, n, len(gram))
-            history, h = np.unique(gram >> 8, return_inverse=True)
-            by_length.append((history, np.bincount(h, count, len(history)), np.bincount(h, minlength=len(history)), gram, count, h))
-        self.first = np.concatenate([[0], np.cumsum([len(b[0]) for b in by_length])])
-        self.histories = [b[0] for b in by_length]
-        states = int(self.first[-1])
-        self.fail, self.weight = np.zeros(states, np.int32), np.zeros(states, np.float32)
-        keys, to, logs, lower = [], [], [], None
-        for k, (history, total, kinds, gram, count, h) in enumerate(by_length):
-            self.weight[self.first[k] : self.first[k + 1]] = np.log(DISCOUNT * kinds / total)
-            if k:
-                self.fail[self.first[k] : self.first[k + 1]] = self._state(history & (256 ** (k - 1) - 1), k - 1)
-            back = 1 / self.kinds if k == 0 else lower[1][np.searchsorted(lower[0], gram & (256**k - 1))]
-            p = (count - DISCOUNT) / total[h] + DISCOUNT * kinds[h] / total[h] * back
-            lower = gram, p
-            keys.append((self.first[k] + h) * 256 + (gram & 255))
-            to.append(self._longest(gram, min(k + 1, ORDER - 1)))
-            logs.append(np.log(p))
-        self.keys = np.concatenate(keys)
-        self.to, self.logs = np.concatenate(to).astype(np.int32), np.concatenate(logs).astype(np.float32)
-        self.dense = None
-        start = sum(START << 8 * j for j in range(ORDER - 1))
-        self.start = int(self._longest(np.array([start]), ORDER - 1)[0]) if states else 0
-
-    def _state(self, history: np.ndarray, k: int) -> np.ndarray:
-        return self.first[k] + np.searchsorted(self.histories[k], history)
-
-    def _longest(self, code: np.ndarray, k: int) -> np.ndarray:
-        """The state of the longest known history that ends the code's last k symbols."""
-        out, open_ = np.zeros(len(code), np.int64), np.ones(len(code), bool)
-        for j in range(k, 0, -1):
-            h = code & (256**j - 1)
-            at = np.minimum(np.searchsorted(self.histories[j], h), max(0, len(self.histories[j]) - 1))
-            hit = open_ & (self.histories[j][at] == h) if len(self.histories[j]) else np.zeros(len(code), bool)
-            out[hit] = self.first[j] + at[hit]
-            open_ &= ~hit
-        return out
-
-    def _follow(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and log-probabilities, by arcs and failure arcs."""
-        to, log = np.zeros(len(state), np.int32), np.zeros(len(state), np.float32)
-        left, at_state = np.arange(len(state)), state.astype(np.int64)
-        while len(left):
-            key = at_state * 256 + symbol[left]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            to[left[hit]] = self.to[at[hit]]
-            log[left[hit]] += self.logs[at[hit]]
-            left, at_state = left[~hit], at_state[~hit]
-            log[left] += self.weight[at_state]
-            end = at_state == 0
-            log[left[end]] -= np.float32(np.log(self.kinds))
-            left, at_state = left[~end], self.fail[at_state[~end]].astype(np.int64)
-        return to, log
-
-    def ready(self) -> Automaton:
-        """Follow the failure arcs of every cell ahead, if there aren't too many."""
-        if self.dense is None and 0 < len(self.fail) * 256 <= DENSE_CELLS:
-            seen = np.unique(self.keys & 255)
-            self.column = np.full(256, len(seen), np.int32)
-            self.column[seen] = np.arange(len(seen))
-            cols = np.append(seen, next((s for s in range(254) if s not in set(seen.tolist())), 0))  # the last stands for all unseen
-            parts = [self._follow(np.repeat(np.arange(lo, min(lo + 4096, len(self.fail))), len(cols)), np.tile(cols, min(4096, len(self.fail) - lo))) for lo in range(0, len(self.fail), 4096)]
-            self.dense = np.concatenate([p[0] for p in parts]) * np.int32(len(cols)), np.concatenate([p[1] for p in parts])
-        return self
-
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and symbols (with the end mark) of each text."""
-        stream, lengths = joined(texts)
-        if not len(lengths):
-            return np.zeros(0), lengths
-        blocks = -(-lengths // BLOCK)
-        owner = np.repeat(np.arange(len(lengths)), blocks)
-        begin = np.cumsum(lengths + ORDER - 1) - lengths
-        lo = begin[owner] + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        size = np.minimum(BLOCK, (begin + lengths)[owner] - lo)
-        code = np.zeros(len(lo), np.int64)
-        for j in range(ORDER - 1, 0, -1):
-            code = code << 8 | stream[lo - j]
-        state, total = self._longest(code, ORDER - 1), np.zeros(len(lo))
-        order = np.argsort(-size, kind="stable")
-        lo, size, state = lo[order], size[order], state[order]
-        wide = self.dense is not None
-        if wide:
-            state = (state * (self.column.max() + 1)).astype(np.int32)
-        for j in range(int(size[0])):
-            k = int(np.searchsorted(-size, -j, side="left"))
-            c = stream[lo[:k] + j]
-            if wide:
-                cell = state[:k] + self.column[c]
-                log = self.dense[1][cell]
-                state[:k] = self.dense[0][cell]
-            else:
-                state[:k], log = self._follow(state[:k], c)
-            total[order[:k]] += log
-        return np.bincount(owner, total, len(lengths)), lengths
-
-
-def train(docs: DataFrame) -> Automaton | None:
-    rows = counted(docs).toPandas()
-    return Automaton(rows["code"].to_numpy(), rows["n"].to_numpy()) if len(rows) else None
-
-
-_LIVE: dict[int, Automaton] = {}
-
-
-def scored(docs: DataFrame, automaton: Automaton | None) -> DataFrame:
-    """(doc_id, n_symbols, log_prob, perplexity) of each row."""
-    spark = common.ready(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    if automaton is None:
-        return slim.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("n_symbols", "bigint"), ("log_prob", "double"), ("perplexity", "double"))))
-    shared = spark.sparkContext.broadcast((np.random.default_rng().integers(1 << 62), automaton))
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ids and size + (len(text) if text else 0) // 6 > CHUNK_WORDS:
+                    yield row(number, ids, lengths, words, types)
+                    number, ids, lengths, words, types, size = number + 1, [], [], [], Types(), 0
+                ids.append(i)
+                words.append(types.ids(text.lower() if text else text))
+                lengths.append(-1 if text is None else len(words[-1]))
+                size += len(words[-1])
+        if ids:
+            yield row(number, ids, lengths, words, types)
+
+    arrow = common.arrow_schema(CHUNK)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, CHUNK)
+
+
+class Stream:
+    """A chunk's symbols end to end, with marks, and the hashes of its n-grams."""
+
+    def __init__(self, lengths: list[int], types: bytes, words: bytes):
+        size = np.array(lengths, np.int64)
+        self.known = size >= 0
+        n = size[self.known]
+        start = np.cumsum(n + ORDER) - n - ORDER  # ORDER - 1 marks before each text and one behind
+        symbols = np.empty(int((n + ORDER).sum()), np.uint64)
+        inside = np.ones(len(symbols), bool)
+        for j in range(ORDER - 1):
+            symbols[start + j] = _MARKS[j]
+            inside[start + j] = False
+        symbols[start + n + ORDER - 1] = _MARKS[2]
+        inside[start + n + ORDER - 1] = False
+        symbols[inside] = opened(types, np.uint64)[opened(words, np.uint32)]
+        self.start, self.sizes, self.count = start, n + 1, len(symbols)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + ORDER)
+        place = np.arange(len(symbols)) - start[self.doc] if len(n) else np.zeros(0, np.int64)
+        x, keys, at = np.zeros(len(symbols), np.uint64), [], []
+        for k in range(1, ORDER + 1):  # the hash of the k symbols that end at each place
+            shifted = np.zeros(len(symbols), np.uint64)
+            shifted[k - 1 :] = symbols[: len(symbols) - k + 1]
+            x = common.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ shifted)
+            ok = np.flatnonzero(place >= k - 1)
+            keys.append(x[ok] & ~np.uint64(3) | np.uint64(k))
+            at.append((k - 1) * len(symbols) + ok)
+        self.keys, self.at = np.concatenate(keys), np.concatenate(at)
+
+
+def _requests(chunks: DataFrame, parts: int, asks: bool, counts: bool) -> DataFrame:
+    """(part, chunk, keys, n, asks): each chunk's distinct n-grams by parts, and how often it has them."""
 
     def run(batch):
-        number, model = shared.value
-        if number not in _LIVE:
-            _LIVE.clear()
-            _LIVE[number] = model.ready()
-        texts = batch.column("text").to_pylist()
-        has = np.array([t is not None for t in texts], bool)
-        log, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        log[has], n[has] = _LIVE[number].scores([t for t in texts if t is not None])
-        return {"doc_id": batch.column("doc_id"), "n_symbols": pa.array(n, mask=~has), "log_prob": pa.array(np.round(log, 4), mask=~has), "perplexity": pa.array(np.round(np.exp(-log / np.maximum(n, 1)), 6), mask=~has)}
+        out = {"part": [], "chunk": [], "keys": [], "n": [], "asks": []}
+        for r in batch.to_pylist():
+            keys = np.sort(Stream(r["lengths"], r["types"], r["words"]).keys)
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.append(at, len(keys))).astype(np.uint32) if counts else np.zeros(len(at), np.uint32)
+            keys = keys[at]
+            borders = np.searchsorted(keys, _borders(parts)) if parts > 1 else []
+            for p, (a, b) in enumerate(zip([0, *borders], [*borders, len(keys)])):
+                cells = p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), squeezed(n[a:b]), asks
+                for k, x in zip(out, cells):
+                    out[k].append(x)
+        return out
 
-    return common.map_arrow(slim, run, "doc_id bigint, n_symbols bigint, log_prob double, perplexity double")
+    return common.map_arrow(chunks, run, "part int, chunk bigint, keys binary, n binary, asks boolean", rows=1)
+
+
+def _borders(parts: int) -> np.ndarray:
+    return np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
+
+
+def _answers(requests: DataFrame) -> DataFrame:
+    """(chunk, part, n, kinds): the corpus' count of each n-gram that the chunk asks for; kinds of words in the part."""
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        n = np.concatenate([opened(x, np.uint32) for x in table.column("n").to_pylist()])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, n, len(distinct)).astype(np.uint64)
+        kinds = int(((distinct & np.uint64(3) == 1) & (total > 0)).sum())
+        rows = [i for i, a in enumerate(table.column("asks").to_pylist()) if a]
+        ends = np.cumsum([len(k) for k in keys])
+        cells = [squeezed(total[at[ends[i] - len(keys[i]) : ends[i]]]) for i in rows]
+        found = table.select(["chunk", "part"]).take(pa.array(rows, pa.int64()))
+        return found.append_column("n", pa.array(cells, pa.binary())).append_column("kinds", pa.array([kinds] * len(rows), pa.int64()))
+
+    return requests.groupBy("part").applyInArrow(add, "chunk bigint, part int, n binary, kinds bigint")
+
+
+def log_probabilities(stream: Stream, totals: np.ndarray, symbols: int, kinds: int, own: bool) -> np.ndarray:
+    """Of each text: the log-probability, from the counts of the stream's distinct n-grams in the order of their hashes.
+
+    symbols and kinds are the corpus' words and end marks, and how many different ones there are; with own, the texts
+    are part of the corpus.
+    """
+    order = np.argsort(stream.keys, kind="stable")
+    keys = stream.keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    count = np.repeat(totals.astype(np.float64), np.diff(np.append(first, len(keys))))
+    if own:  # equal n-grams of one text are neighbours too
+        doc = stream.doc[stream.at[order] % stream.count]
+        same = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))
+        runs = np.diff(np.append(np.flatnonzero(same), len(keys)))
+        count -= np.repeat(runs, runs)
+    n = np.zeros(ORDER * stream.count)
+    n[stream.at[order]] = count
+    n = n.reshape(ORDER, stream.count)
+    at = np.concatenate([np.arange(ORDER - 1, ORDER - 1 + s) for s in stream.sizes.tolist()]) + np.repeat(stream.start, stream.sizes)
+    other = symbols - np.repeat(stream.sizes, stream.sizes) if own else symbols
+    p = (n[0][at] + PRIOR / (kinds + 1)) / (other + PRIOR)
+    for k in range(1, ORDER):  # the state of history h has n(h); without an arc only the failure arc's weight is left
+        history = n[k - 1][at - 1]
+        p = (n[k][at] + PRIOR * p) / (history + PRIOR)
+    return np.add.reduceat(np.log(p), np.cumsum(stream.sizes) - stream.sizes)
+
+
+def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_symbols, log_prob, perplexity) of each row of docs, by the automaton of corpus.
+
+    Without a corpus docs is the corpus, and each row is scored by all others.
+    """
+    common.ready(docs.sparkSession)
+    own = corpus is None
+    chunks = common.written(_chunks(docs), "chunks")
+    counted = chunks if own else common.written(_chunks(corpus), "corpus")
+    size = F.aggregate(F.filter("lengths", lambda n: n >= 0), F.lit(0).cast("bigint"), lambda s, n: s + n + 1)
+    symbols = int(counted.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+    parts = max(1, ceil(ORDER * symbols / PART_GRAMS))
+    requests = _requests(counted, parts, own, True)
+    requests = requests if own else requests.unionByName(_requests(chunks, parts, True, False))
+    answers = common.written(_answers(requests), "answers")
+    by_part = answers.groupBy("part").agg(F.max("kinds").alias("kinds")).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    kinds = max(0, int(by_part) - (ORDER - 1 if symbols else 0))  # start marks are never symbols
+
+    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        r = chunk.to_pylist()[0]
+        stream = Stream(r["lengths"], r["types"], r["words"])
+        cells = [c for _, c in sorted(zip(replies.column("part").to_pylist(), replies.column("n").to_pylist()))]
+        totals = np.concatenate([opened(c, np.uint64) for c in cells])
+        log, n = np.zeros(len(stream.known)), np.zeros(len(stream.known), np.int64)
+        if stream.known.any():
+            log[stream.known], n[stream.known] = log_probabilities(stream, totals, symbols, kinds, own), stream.sizes
+        none = ~stream.known
+        return pa.table({
+            "doc_id": pa.array(r["ids"], pa.int64()), "n_symbols": pa.array(n, mask=none), "log_prob": pa.array(np.round(log, 4), mask=none),
+            "perplexity": pa.array(np.round(np.exp(-log / np.maximum(n, 1)), 6), mask=none),
+        })
+
+    return chunks.groupBy("chunk").cogroup(answers.select("chunk", "part", "n").groupBy("chunk")).applyInArrow(score, "doc_id bigint, n_symbols bigint, log_prob double, perplexity double")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.load(spark, sf_dir, "documents", spread=True)
-    return scored(docs, train(docs))
+    return scored(common.load(spark, sf_dir, "documents", spread=True))

@@ -347,44 +347,59 @@ def test_quality_on_awkward_rows(spark, awkward, docs):
 
 
 # 5 language model
-def test_automaton_against_the_formula(rows):
-    texts = [r["text"][:700] for r in rows[:25]] + ["", "Zürich 12 €", "never\x07seen"]
-    known, n = texts[:20], lm.ORDER
-    grams = [Counter() for _ in range(n + 1)]
-    for t in known:
-        s = [lm.START] * (n - 1) + lm.symbols(t).tolist() + [lm.END]
-        for i in range(n - 1, len(s)):
-            for k in range(n + 1):
-                grams[k][tuple(s[i - k + 1 : i + 1]) if k else ()] += 1
-    followers = [defaultdict(Counter) for _ in range(n)]
-    for k in range(1, n + 1):
-        for g, c in grams[k].items():
-            followers[k - 1][g[:-1]][g[-1]] += c
+def plain_log_prob(text, others):
+    """The formula in plain loops: others are the texts that count."""
+    grams = [Counter() for _ in range(lm.ORDER + 1)]
+    stream = lambda t: [f"<{j}>" for j in range(lm.ORDER - 1)] + t.lower().split() + [">"]
+    for s in map(stream, others[1]):
+        for i in range(len(s)):
+            for k in range(1, min(i + 1, lm.ORDER) + 1):
+                grams[k][tuple(s[i - k + 1 : i + 1])] += 1
+    symbols, kinds = sum(len(t.split()) + 1 for t in others[1]), len({w for t in others[0] for w in t.lower().split()}) + 1
 
     def p(h, c):
-        if not followers[len(h)].get(h):
-            return p(h[1:], c) if h else 1 / 255
-        f = followers[len(h)][h]
-        total = sum(f.values())
-        low = p(h[1:], c) if h else 1 / 255
-        return max(f[c] - lm.DISCOUNT, 0) / total + lm.DISCOUNT * len(f) / total * low
-
-    code, count = lm._merged([lm.grams(lm.joined(known[i : i + 5])[0]) for i in range(0, 20, 5)])
-    for dense in (True, False):
-        model = lm.Automaton(code, count)
-        log, size = (model.ready() if dense else model).scores(texts)
-        for t, got, m in zip(texts, log, size):
-            s = [lm.START] * (n - 1) + lm.symbols(t).tolist() + [lm.END]
-            want = sum(math.log(p(tuple(s[i - n + 1 : i]), s[i])) for i in range(n - 1, len(s)))
-            assert m == len(s) - n + 1 and abs(got - want) < 1e-3 * max(1, abs(want) ** 0.5), (t, dense)
+        if h is None:
+            return 1 / (kinds + 1)
+        n = grams[len(h)][h] if h else symbols
+        return (grams[len(h) + 1][(*h, c)] + lm.PRIOR * p(h[1:] if h else None, c)) / (n + lm.PRIOR)
+
+    s = stream(text)
+    return sum(math.log(p(tuple(s[i - lm.ORDER + 1 : i]), s[i])) for i in range(lm.ORDER - 1, len(s)))
+
+
+@pytest.mark.parametrize("chunk, part, split", [(2_000_000, 2_000_000, 1), (150, 700, 3)])
+def test_automaton_against_the_formula(spark, rows, monkeypatch, chunk, part, split):
+    monkeypatch.setattr(lm, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(lm, "PART_GRAMS", part)
+    texts = [r["text"][:400] for r in rows[:25]] + [rows[4]["text"][:400], "", "", "the the the the", "Zürich 12 €", "never\x07seen of the"]
+    data = table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]).repartition(split)
+    got = {r["doc_id"]: r for r in lm.scored(data).collect()}
+    for i, t in enumerate(texts):
+        want = plain_log_prob(t, (texts, texts[:i] + texts[i + 1 :]))
+        assert got[i]["n_symbols"] == len(t.split()) + 1 and abs(got[i]["log_prob"] - want) < 1e-3, t
+        assert abs(got[i]["perplexity"] - math.exp(-want / (len(t.split()) + 1))) < 1e-3 * got[i]["perplexity"]
+    corpus = data.filter("doc_id < 20")
+    got = {r["doc_id"]: r["log_prob"] for r in lm.scored(data, corpus).collect()}
+    assert all(abs(got[i] - plain_log_prob(t, (texts[:20], texts[:20]))) < 1e-3 for i, t in enumerate(texts))
+
+
+def test_lm_tells_copies_from_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    times = Counter(rows.values())
+    got = {r["doc_id"]: r["log_prob"] / r["n_symbols"] for r in lm.scored(docs).collect()}
+    long = [d for d, t in rows.items() if len(t.split()) > 50]
+    once, twice = [got[d] for d in long if times[rows[d]] == 1], [got[d] for d in long if times[rows[d]] == 2]
+    assert len(twice) > 10 and np.mean(np.array(twice) > np.quantile(once, 0.9)) > 0.9
 
 
 def test_lm_on_awkward_rows(awkward, docs):
-    got = [r[:] for r in lm.scored(awkward, lm.train(docs)).collect()]
+    got = [r[:] for r in lm.scored(awkward).collect()]
     assert len(got) == 14 and all((r[1] is None) == (r[0] == 1 or r[0] is None and r[2] is None) for r in got)
     assert all(r[3] > 1 for r in got if r[1]) and [r[1] for r in got if r[0] == 2] == [1]
-    assert lm.train(docs.limit(0)) is None and lm.scored(awkward, None).filter("log_prob is not null").count() == 0
-    assert lm.train(awkward) is not None
+    assert sorted(map(str, got)) == sorted(str(r[:]) for r in lm.scored(awkward.select("doc_id", "text").repartition(3)).collect())
+    assert lm.scored(docs.limit(0)).count() == 0 and lm.scored(docs.limit(0), docs).count() == 0
+    assert lm.scored(docs, docs.limit(0)).filter("log_prob is not null").count() == docs.count()
 
 
 # 4 packing
