@@ -14,28 +14,34 @@ sources gain as training goes on. Other schedules: weights={source: (start, end)
 weight in (0, 1], and all its documents a position of 2.
 
 Tokens are words: blanks (space, tab, newline) + 1, none in empty or NULL text. The running totals are two-level
-(sums of 4,096 hash ranges of a source, then rows within a range), so no task holds a whole source.
+(sums of hash ranges of a source, then rows within a range), and there are as many ranges as keep one at RANGE_ROWS
+rows, so no task holds a whole source at any size.
 
-Defined results: a NULL source is the source ''. NULL doc_ids come first within their source. Repeated rows each
-get a position of their own. Without tokens of a source its documents get its first position. An empty table gives
+Defined results: a NULL source is the source ''. A row without a doc_id stands where the hash of its text puts it. Repeated rows each
+get a position of their own. Very long texts only have many tokens. Without tokens of a source its documents get its first position. An empty table gives
 no rows. Columns of any other names stay as they are.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 STEPS = 64
+RANGE_ROWS = 50_000
 
 
-def curriculum(docs: DataFrame, weights: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """docs' rows as a struct `row`, with `_tokens` and their training position `_at`, in no order."""
-    rows = docs.select(F.struct("*").alias("row"), common.text_key("text").alias("_key"), *_keys())
-    slim = docs.select(*_keys())
-    sums = common.written(slim.groupBy("_source", "_range").agg(F.sum("_tokens").alias("_sum")), "ranges")
+def curriculum(docs: DataFrame, weights: dict[str, tuple[float, float]] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """docs' rows, or their columns `carry`, as a struct `row`, with `_tokens` and their training position `_at`, in no order."""
+    # as many ranges of the hash as keep a range of a source at about RANGE_ROWS rows
+    ranges = max(1, ceil(docs.count() / RANGE_ROWS))
+    row = F.struct("*") if carry is None else F.struct(*carry)
+    rows = docs.select(row.alias("row"), F.xxhash64("text").alias("_key"), *_keys(ranges))
+    sums = common.written(docs.select(*_keys(ranges)).groupBy("_source", "_range").agg(F.sum("_tokens").alias("_sum")), "ranges")
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_range")) - F.col("_sum")).drop("_sum")
     demand = _demand(sums.groupBy("_source").agg(F.sum("_sum").alias("_supply")), weights)
     inside = Window.partitionBy("_source", "_range").orderBy("_hash", "_key").rowsBetween(Window.unboundedPreceding, 0)
@@ -51,11 +57,13 @@ def curriculum(docs: DataFrame, weights: dict[str, tuple[float, float]] | None =
     return placed.withColumn("_step", step).withColumn("_at", F.round(at, 6)).select("row", "_source", "_tokens", "_at")
 
 
-def _keys() -> list[Column]:
+def _keys(ranges: int) -> list[Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = F.when(F.length(text) > 0, F.length(text) - F.length(F.translate(text, " \t\n", "")) + 1).otherwise(0)
-    hashed = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), hashed.alias("_hash"), F.substring(hashed, 1, 3).alias("_range"), tokens.cast("bigint").alias("_tokens")]
+    hashed = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(text.cast("binary")))
+    number = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double")
+    place = F.floor(number / 2**32 * ranges)
+    return [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), hashed.alias("_hash"), place.alias("_range"), tokens.cast("bigint").alias("_tokens")]
 
 
 def _demand(supply: DataFrame, weights: dict[str, tuple[float, float]] | None) -> DataFrame:
@@ -85,7 +93,7 @@ def in_training_order(docs: DataFrame, weights: dict[str, tuple[float, float]] |
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
-    placed = curriculum(docs.select("doc_id", "source", "text"))
+    placed = curriculum(docs, carry=["doc_id"])
     return placed.select("row.doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_at").alias("position")).orderBy("position", "doc_id")
 
 
