@@ -16,10 +16,11 @@ A document of the corpus is scored by the automaton of all others: what it count
 states, else its own n-grams would make any text likely. A copy is another document.
 
 No task or driver holds the automaton. A chunk of documents (about CHUNK_WORDS words, as each task reads them) is kept
-as numbers of words; its distinct n-grams, as sorted 64-bit hashes with their counts, go to parts by ranges of the
-hash; a part of about PART_GRAMS hashes adds up and answers each chunk with the corpus' counts, in the chunk's order.
-So a frequent n-gram is one number a chunk, parts are even, and what is gathered grows with the input. Nothing is
-broadcast.
+as numbers of words; its distinct n-grams, as sorted hashes with their counts, go to parts by ranges of the hash; a
+part of at most about PART_GRAMS n-grams adds up and answers each chunk with the corpus' counts, in the chunk's order.
+A hash has SPARE_BITS more bits than the corpus' n-grams need, so at any size an n-gram has another's with a chance of
+one in 2**SPARE_BITS. A frequent n-gram is one number a chunk, so parts are even. What is gathered grows with the input,
+and nothing is broadcast. (Cells of a chunk and a part shrink as both grow in number: beyond a TB give both more memory.)
 
 Defined results: NULL text has no score (NULLs). The empty text is one end mark. Repeated rows count and are scored
 each for itself, as are rows without a doc_id. Very long texts are scored whole, in a chunk of their own if need be.
@@ -44,6 +45,7 @@ ORDER = 3
 PRIOR = 2.0
 CHUNK_WORDS = 2_000_000
 PART_GRAMS = 2_000_000
+SPARE_BITS = 24
 CHUNK = "chunk bigint, ids array<bigint>, lengths array<int>, types binary, words binary"
 _MARKS = np.array([0x5354415254303030, 0x5354415254303031, 0x454E443030303030], np.uint64)  # starts, end
 _CODEC = pa.Codec("zstd")
@@ -91,60 +93,68 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 class Stream:
-    """A chunk's symbols end to end, with marks, and the hashes of its n-grams."""
+    """A chunk's symbols end to end, with marks, and the keys of its n-grams."""
 
-    def __init__(self, lengths: list[int], types: bytes, words: bytes):
+    def __init__(self, lengths: list[int], types: bytes, words: bytes, bits: int):
         size = np.array(lengths, np.int64)
-        self.known = size >= 0
+        self.known, self.bits = size >= 0, bits
         n = size[self.known]
-        start = np.cumsum(n + ORDER) - n - ORDER  # ORDER - 1 marks before each text and one behind
-        symbols = np.empty(int((n + ORDER).sum()), np.uint64)
-        inside = np.ones(len(symbols), bool)
+        self.start, self.sizes = np.cumsum(n + ORDER) - n - ORDER, n + 1  # ORDER - 1 marks before each text, one behind
+        self.symbols = np.empty(int((n + ORDER).sum()), np.uint64)
+        inside = np.ones(len(self.symbols), bool)
         for j in range(ORDER - 1):
-            symbols[start + j] = _MARKS[j]
-            inside[start + j] = False
-        symbols[start + n + ORDER - 1] = _MARKS[2]
-        inside[start + n + ORDER - 1] = False
-        symbols[inside] = opened(types, np.uint64)[opened(words, np.uint32)]
-        self.start, self.sizes, self.count = start, n + 1, len(symbols)
+            self.symbols[self.start + j] = _MARKS[j]
+            inside[self.start + j] = False
+        self.symbols[self.start + n + ORDER - 1] = _MARKS[2]
+        inside[self.start + n + ORDER - 1] = False
+        self.symbols[inside] = opened(types, np.uint64)[opened(words, np.uint32)]
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n + ORDER)
-        place = np.arange(len(symbols)) - start[self.doc] if len(n) else np.zeros(0, np.int64)
-        x, keys, at = np.zeros(len(symbols), np.uint64), [], []
-        for k in range(1, ORDER + 1):  # the hash of the k symbols that end at each place
-            shifted = np.zeros(len(symbols), np.uint64)
-            shifted[k - 1 :] = symbols[: len(symbols) - k + 1]
-            x = common.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ shifted)
-            ok = np.flatnonzero(place >= k - 1)
-            keys.append(x[ok] & ~np.uint64(3) | np.uint64(k))
-            at.append((k - 1) * len(symbols) + ok)
-        self.keys, self.at = np.concatenate(keys), np.concatenate(at)
-
-
-def _requests(chunks: DataFrame, parts: int, asks: bool, counts: bool) -> DataFrame:
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places where n-grams of k symbols end, and their keys: k in the two high bits, then bits of a hash."""
+        x = np.zeros(len(self.symbols), np.uint64)
+        for j in range(k):
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x[j:] ^= self.symbols[: len(x) - j]
+            x = common.mix(x)
+        ok = np.ones(len(x), bool)
+        for j in range(min(k - 1, len(x))):
+            ok[self.start + j] = False
+        at = np.flatnonzero(ok).astype(np.int32)
+        low = np.uint64(62 - self.bits)
+        return at, np.uint64(k) << np.uint64(62) | x[at] >> np.uint64(2) >> low << low
+
+
+def key_bits(grams: int) -> int:
+    """Bits of the hash so that another of so many n-grams has an n-gram's key with a chance of 2**-SPARE_BITS."""
+    return min(62, max(1, grams).bit_length() + SPARE_BITS)
+
+
+def _requests(chunks: DataFrame, parts: int, bits: int, asks: bool, counts: bool) -> DataFrame:
     """(part, chunk, keys, n, asks): each chunk's distinct n-grams by parts, and how often it has them."""
+    low = np.uint64(62 - bits)
 
     def run(batch):
-        out = {"part": [], "chunk": [], "keys": [], "n": [], "asks": []}
-        for r in batch.to_pylist():
-            keys = np.sort(Stream(r["lengths"], r["types"], r["words"]).keys)
+        r = batch.to_pylist()[0]
+        stream, out = Stream(r["lengths"], r["types"], r["words"], bits), {"part": [], "chunk": [], "keys": [], "n": [], "asks": []}
+        for k in range(1, ORDER + 1):
+            keys = np.sort(stream.grams(k)[1])
             at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
             n = np.diff(np.append(at, len(keys))).astype(np.uint32) if counts else np.zeros(len(at), np.uint32)
             keys = keys[at]
-            borders = np.searchsorted(keys, _borders(parts)) if parts > 1 else []
+            borders = np.searchsorted(keys, (np.uint64(k) << np.uint64(62)) + np.arange(1, parts, dtype=np.uint64) * np.uint64(2**62 // parts))
             for p, (a, b) in enumerate(zip([0, *borders], [*borders, len(keys)])):
-                cells = p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0))), squeezed(n[a:b]), asks
-                for k, x in zip(out, cells):
-                    out[k].append(x)
+                if a == b:
+                    continue
+                cells = (k - 1) * parts + p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0)) >> low), squeezed(n[a:b]), asks
+                for c, x in zip(out, cells):
+                    out[c].append(x)
         return out
 
     return common.map_arrow(chunks, run, "part int, chunk bigint, keys binary, n binary, asks boolean", rows=1)
 
 
-def _borders(parts: int) -> np.ndarray:
-    return np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)
-
-
-def _answers(requests: DataFrame) -> DataFrame:
+def _answers(requests: DataFrame, parts: int) -> DataFrame:
     """(chunk, part, n, kinds): the corpus' count of each n-gram that the chunk asks for; kinds of words in the part."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -152,7 +162,7 @@ def _answers(requests: DataFrame) -> DataFrame:
         n = np.concatenate([opened(x, np.uint32) for x in table.column("n").to_pylist()])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, n, len(distinct)).astype(np.uint64)
-        kinds = int(((distinct & np.uint64(3) == 1) & (total > 0)).sum())
+        kinds = int((total > 0).sum()) if table.column("part")[0].as_py() < parts else 0
         rows = [i for i, a in enumerate(table.column("asks").to_pylist()) if a]
         ends = np.cumsum([len(k) for k in keys])
         cells = [squeezed(total[at[ends[i] - len(keys[i]) : ends[i]]]) for i in rows]
@@ -162,30 +172,40 @@ def _answers(requests: DataFrame) -> DataFrame:
     return requests.groupBy("part").applyInArrow(add, "chunk bigint, part int, n binary, kinds bigint")
 
 
-def log_probabilities(stream: Stream, totals: np.ndarray, symbols: int, kinds: int, own: bool) -> np.ndarray:
-    """Of each text: the log-probability, from the counts of the stream's distinct n-grams in the order of their hashes.
+def log_probabilities(stream: Stream, totals, symbols: int, kinds: int, own: bool) -> np.ndarray:
+    """Of each text: the log-probability. totals(k) has the counts of the stream's distinct n-grams by their keys.
 
     symbols and kinds are the corpus' words and end marks, and how many different ones there are; with own, the texts
     are part of the corpus.
     """
-    order = np.argsort(stream.keys, kind="stable")
-    keys = stream.keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    count = np.repeat(totals.astype(np.float64), np.diff(np.append(first, len(keys))))
-    if own:  # equal n-grams of one text are neighbours too
-        doc = stream.doc[stream.at[order] % stream.count]
-        same = np.append(True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))
-        runs = np.diff(np.append(np.flatnonzero(same), len(keys)))
-        count -= np.repeat(runs, runs)
-    n = np.zeros(ORDER * stream.count)
-    n[stream.at[order]] = count
-    n = n.reshape(ORDER, stream.count)
-    at = np.concatenate([np.arange(ORDER - 1, ORDER - 1 + s) for s in stream.sizes.tolist()]) + np.repeat(stream.start, stream.sizes)
+
+    def counts(k: int) -> np.ndarray:
+        """How often the rest of the corpus has the n-gram that ends at each place."""
+        at, keys = stream.grams(k)
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        del order
+        new = np.append(True, keys[1:] != keys[:-1])
+        count = np.repeat(totals(k).astype(np.float64), np.diff(np.append(np.flatnonzero(new), len(keys))))
+        if own:  # equal n-grams of one text are neighbours too
+            doc = stream.doc[at]
+            new[1:] |= doc[1:] != doc[:-1]
+            runs = np.diff(np.append(np.flatnonzero(new), len(keys)))
+            count -= np.repeat(runs, runs)
+        out = np.zeros(len(stream.symbols))
+        out[at] = count
+        return out
+
+    scored_ = np.ones(len(stream.symbols), bool)
+    for j in range(ORDER - 1):
+        scored_[stream.start + j] = False
+    at = np.flatnonzero(scored_)
     other = symbols - np.repeat(stream.sizes, stream.sizes) if own else symbols
-    p = (n[0][at] + PRIOR / (kinds + 1)) / (other + PRIOR)
-    for k in range(1, ORDER):  # the state of history h has n(h); without an arc only the failure arc's weight is left
-        history = n[k - 1][at - 1]
-        p = (n[k][at] + PRIOR * p) / (history + PRIOR)
+    n = counts(1)
+    p = (n[at] + PRIOR / (kinds + 1)) / (other + PRIOR)
+    for k in range(2, ORDER + 1):  # the state of history h has n(h); without an arc only the failure arc's weight is left
+        history, n = n[at - 1], counts(k)
+        p = (n[at] + PRIOR * p) / (history + PRIOR)
     return np.add.reduceat(np.log(p), np.cumsum(stream.sizes) - stream.sizes)
 
 
@@ -200,18 +220,18 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     counted = chunks if own else common.written(_chunks(corpus), "corpus")
     size = F.aggregate(F.filter("lengths", lambda n: n >= 0), F.lit(0).cast("bigint"), lambda s, n: s + n + 1)
     symbols = int(counted.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
-    parts = max(1, ceil(ORDER * symbols / PART_GRAMS))
-    requests = _requests(counted, parts, own, True)
-    requests = requests if own else requests.unionByName(_requests(chunks, parts, True, False))
-    answers = common.written(_answers(requests), "answers")
+    parts, bits = max(1, ceil(symbols / PART_GRAMS)), key_bits(symbols)
+    requests = _requests(counted, parts, bits, own, True)
+    requests = requests if own else requests.unionByName(_requests(chunks, parts, bits, True, False))
+    answers = common.written(_answers(requests, parts), "answers")
     by_part = answers.groupBy("part").agg(F.max("kinds").alias("kinds")).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     kinds = max(0, int(by_part) - (ORDER - 1 if symbols else 0))  # start marks are never symbols
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         r = chunk.to_pylist()[0]
-        stream = Stream(r["lengths"], r["types"], r["words"])
-        cells = [c for _, c in sorted(zip(replies.column("part").to_pylist(), replies.column("n").to_pylist()))]
-        totals = np.concatenate([opened(c, np.uint64) for c in cells])
+        stream = Stream(r["lengths"], r["types"], r["words"], bits)
+        cells = dict(zip(replies.column("part").to_pylist(), replies.column("n").to_pylist()))
+        totals = lambda k: np.concatenate([np.zeros(0, np.uint64), *(opened(cells[p], np.uint64) for p in range((k - 1) * parts, k * parts) if p in cells)])
         log, n = np.zeros(len(stream.known)), np.zeros(len(stream.known), np.int64)
         if stream.known.any():
             log[stream.known], n[stream.known] = log_probabilities(stream, totals, symbols, kinds, own), stream.sizes
