@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import vector as V
+from ..scratch import written
+
+BLOCK_NUMBERS = 1 << 20
 
 
 def nearest(df: DataFrame, column: str, query: list[float], k: int, metric: str = "cosine", key: str = "_key") -> DataFrame:
@@ -49,33 +52,66 @@ def nearest_compact(df: DataFrame, column: str, query: list[float], k: int, boun
     return nearest(first, column, query, k, "l2", key)
 
 
-def nearest_join(df: DataFrame, column: str, queries: list[tuple[str, list[float]]], k: int, metric: str = "cosine", key: str = "_key") -> DataFrame:
-    """(query, key, distance): the k nearest rows of each of a list of queries, by matrix products on Arrow batches.
+def nearest_join(df: DataFrame, column: str, queries: DataFrame, k: int, metric: str = "cosine", key: str = "_key", block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """(query, key, distance): the k rows of df nearest to each row of queries (query, vector), equal ones by key.
 
-    Every batch of rows gives at most k candidates per query, so what is shuffled doesn't grow with the vectors.
+    The queries are asked in blocks of about block_numbers coordinates, by matrix products on Arrow batches; each
+    task keeps k rows a query over all its batches, and only those move. Distances are rounded to 9 digits, so that
+    equal vectors tie whatever batch they are in. Rows and queries without a vector don't count.
     """
-    names, q = [n for n, _ in queries], np.array([v for _, v in queries], np.float32).astype(float)
-
+    spark = df.sparkSession
+    queries = queries.select(F.col("query").cast("string").alias("query"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null")
+    rows = df.filter(F.col(column).isNotNull()).select(key, F.col(column).cast("array<double>").alias("_v"))
+    kind = dict(df.dtypes)[key]
+    schema = f"query string, `{key}` {kind}, distance double"
+    total = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_numbers))
+    found = None
+    for b in range(blocks):
+        asked = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()
+        if len(asked):
+            shared = spark.sparkContext.broadcast((asked["query"].tolist(), np.stack(asked["vector"].to_numpy())))
+            part = rows.mapInPandas(_nearest_of(shared, k, metric, key), schema)
+            part = written(part, "nearest") if blocks > 1 else part
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
+    return found.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
+def _nearest_of(shared, k: int, metric: str, key: str):
     def run(batches):
+        names, q = shared.value
+        at, dist, keys = np.zeros(0, np.int64), np.zeros(0), None
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.stack(pdf[column].to_numpy()).astype(float)
-            if metric == "l2":
-                d = ((q[:, None, :] - v[None]) ** 2).sum(2) if len(v) * len(q) < 200_000 else (q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
-            elif metric == "dot":
-                d = -q @ v.T
-            elif metric == "l1":
-                d = np.stack([np.abs(v - x).sum(1) for x in q])
-            else:
-                norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
-                d = np.where(norm == 0, 1.0, 1 - (q @ v.T) / np.where(norm == 0, 1, norm))
-            keys = pdf[key].to_numpy()
-            for i, n in enumerate(names):
-                best = np.lexsort((keys, d[i]))[:k]
-                yield pd.DataFrame({"query": n, key: keys[best], "distance": d[i][best]})
-
-    kind = dict(df.dtypes)[key]
-    found = df.filter(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"query string, {key} {kind}, distance double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", key))), 1, k)
-    return found.groupBy("query").agg(best.alias("b")).select("query", F.explode("b").alias("r")).select("query", f"r.{key}", "r.distance")
+            v, own = np.stack(pdf["_v"].to_numpy()), pdf[key].to_numpy()
+            parts = [(at, dist, keys)] if keys is not None else []
+            for lo in range(0, len(q), 512):
+                d = np.round(_distances(q[lo : lo + 512], v, metric), 9) + 0.0
+                near = d <= (np.partition(d, k - 1, 1)[:, k - 1 : k] if d.shape[1] > k else np.inf)
+                i, j = np.nonzero(near)
+                parts.append((i + lo, d[i, j], own[j]))
+            at, dist, keys = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((keys, dist, at))
+            first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            order = order[place < k]
+            at, dist, keys = at[order], dist[order], keys[order]
+        if keys is not None:
+            yield pd.DataFrame({"query": np.array(names, object)[at], key: keys, "distance": dist})
+
+    return run
+
+
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0)
+    if metric == "dot":
+        return -q @ v.T
+    if metric == "l1":
+        return np.stack([np.abs(v - x).sum(1) for x in q])
+    norm = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+    return np.where(norm == 0, 1.0, 1 - (q @ v.T) / np.where(norm == 0, 1, norm))

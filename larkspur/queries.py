@@ -161,11 +161,16 @@ ask("vector_order_l2", "SELECT vec_id FROM embeddings ORDER BY embedding <-> $1
 ask("vector_order_cosine", "SELECT vec_id FROM embeddings ORDER BY embedding <=> $1 LIMIT 10", f"SELECT vec_id FROM embeddings ORDER BY {_COS}, vec_id LIMIT 10", [_Q])
 
 
-@call("vector_join", "WITH q AS (SELECT vec_id AS qid, cast(embedding AS double[]) AS q FROM embeddings WHERE vec_id < 20), d AS (SELECT qid, vec_id, 1 - list_dot_product(cast(embedding AS double[]), q) / (sqrt(list_dot_product(cast(embedding AS double[]), cast(embedding AS double[]))) * sqrt(list_dot_product(q, q))) AS distance FROM embeddings, q) SELECT cast(qid AS varchar) AS query, vec_id, round(distance, 4) + 0.0 AS distance FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) <= 5")
+_NORM = "sqrt(list_dot_product({0}, {0}))"
+
+
+@call("vector_join", f"""WITH v AS (SELECT vec_id, {_V} AS v FROM embeddings), d AS (SELECT cast(a.vec_id AS varchar) AS query, b.vec_id,
+round(1 - list_dot_product(a.v, b.v) / ({_NORM.format('a.v')} * {_NORM.format('b.v')}), 9) AS distance FROM v a, v b)
+SELECT query, vec_id, round(distance, 4) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS r FROM d) WHERE r <= 5""")
 def _(e: Engine) -> DataFrame:
     df = e.catalog.nodes("embeddings")
-    wanted = [(str(r[0]), list(r[1])) for r in df.filter("vec_id < 20").select("vec_id", "embedding").collect()]
-    return vector_ops.nearest_join(df, "embedding", wanted, 5, key="vec_id").withColumn("distance", F.round("distance", 4) + 0.0)
+    queries = df.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    return vector_ops.nearest_join(df, "embedding", queries, 5, key="vec_id").withColumn("distance", F.round("distance", 4) + 0.0)
 
 
 @call("vector_compact", f"SELECT vec_id FROM embeddings ORDER BY {_L2}, vec_id LIMIT 10")

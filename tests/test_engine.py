@@ -269,7 +269,7 @@ def test_vectors(spark):
     with pytest.raises(QueryError):
         e.sql("SELECT _key FROM v WHERE VECTOR_NEAR(emb, [1, 0, 0], 2)")
     df = e.catalog.nodes("v")
-    joined = vector_ops.nearest_join(df, "emb", [("q", [1.0, 0.0])], 2).collect()
+    joined = vector_ops.nearest_join(df, "emb", spark.createDataFrame([("q", [1.0, 0.0]), ("no", None)], "query string, vector array<double>"), 2).collect()
     assert [r["_key"] for r in sorted(joined, key=lambda r: r["distance"])] == ["a", "c"]
     bounds = vector_ops.calibrated(df.filter("emb is not null"), "emb")
     assert [r["_key"] for r in vector_ops.nearest_compact(vector_ops.quantised(df, "emb", bounds), "emb", [1.0, 0.0], 2, bounds).collect()] == ["a", "c"]
@@ -277,6 +277,28 @@ def test_vectors(spark):
     assert {r["_key"]: round(r["score"], 6) for r in fused.collect()} == {"a": round(1 / 61 + 1 / 63, 6), "b": round(1 / 62 + 1 / 62, 6), "c": round(1 / 61, 6)}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot", "l1"])
+def test_nearest_join_against_brute_force(spark, metric):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(6)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "k bigint, v array<float>").repartition(3)
+
+    def distance(a, b):
+        dot = sum(x * y for x, y in zip(a, b))
+        if metric == "dot":
+            return -dot
+        if metric == "cosine":
+            n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+            return round(1 - dot / n, 9) if n else 1.0
+        return sum(abs(x - y) if metric == "l1" else (x - y) ** 2 for x, y in zip(a, b))
+
+    want = {(str(q), k) for q, a in rows for _, k in sorted((distance(a, b), k) for k, b in rows)[:4]}
+    got = vector_ops.nearest_join(df, "v", df.select(F.col("k").alias("query"), F.col("v").alias("vector")), 4, metric, "k", block_numbers=200)
+    assert {(r["query"], r["k"]) for r in got.collect()} == want
+
+
 def test_geometry(spark):
     pt = lambda x, y: f'{{"coordinates":[{x},{y}],"type":"Point"}}'
     sq = '{"coordinates":[[[144.9,-37.9],[145.0,-37.9],[145.0,-37.8],[144.9,-37.8],[144.9,-37.9]]],"type":"Polygon"}'
