@@ -14,7 +14,7 @@ from .catalog import Catalog, Collection, EdgePart, slug
 from .errors import QueryError
 from .operators import text as text_ops
 from .plans.lower import Lowering, lower_query
-from .plans.mutate import Mutation, split_slug
+from .plans.mutate import Changes, Mutation, split_slug
 from .plans.parser import Parser, Select, parse_select
 from .session import ready
 
@@ -29,7 +29,7 @@ class Engine:
         self.spark, self.read_only = ready(spark), read_only
         self.catalog = Catalog()
         self._base: Catalog | None = None  # before BEGIN
-        self._pending: list[dict] = []
+        self._pending: list[Changes] = []
         self._listeners: dict[int, Callable[[dict], None]] = {}
         self._bulk = False
 
@@ -136,8 +136,7 @@ class Engine:
         self.catalog = draft
         c = m.changes
         if c.collections or c.edge_types:
-            event = {"collections": sorted(c.collections), "keys": sorted(c.keys), "edge_types": sorted(c.edge_types)}
-            self._pending.append(event)
+            self._pending.append(c)
             if self._base is None:
                 self._publish()
         return c.count
@@ -170,10 +169,12 @@ class Engine:
     def _publish(self) -> None:
         """One event for all that was committed together."""
         if self._pending:
-            event = {k: sorted({x for e in self._pending for x in e[k]}) for k in ("collections", "keys", "edge_types")}
-            self._pending = []
-            for f in list(self._listeners.values()):
-                f(event)
+            changes, self._pending = self._pending, []
+            if self._listeners:  # keys are only fetched if somebody listens
+                keys = {k for c in changes for k in c.keys} | {r[0] for c in changes for f in c.frames for r in f.toLocalIterator()}
+                event = {"collections": sorted({x for c in changes for x in c.collections}), "keys": sorted(keys), "edge_types": sorted({x for c in changes for x in c.edge_types})}
+                for f in list(self._listeners.values()):
+                    f(event)
 
     def subscribe_changes(self, listener: Callable[[dict], None]) -> int:
         number = max(self._listeners, default=0) + 1

@@ -27,6 +27,7 @@ AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX"}
 PATH_FOLDS = {"PATH_SUM", "PATH_AVG", "PATH_MIN", "PATH_MAX", "PATH_PRODUCT", "PATH_FIRST", "PATH_LAST"}
 SCORES = {"BM25", "BM25_NORM", "SEARCH_SCORE", "ST_DISTANCE", *vector.FUNCTIONS}
 MAX_ROWS = 2**31 - 1
+MAX_VECTOR_K, MAX_SUBSTRING = 1_000_000, 100_000_000
 
 
 @dataclass
@@ -258,7 +259,10 @@ class Lowering:
         if name in ("TRIM", "LTRIM", "RTRIM"):
             return scalar.trim(go(0), name != "RTRIM", name != "LTRIM")
         if name in ("SUBSTRING", "SUBSTR"):
-            return scalar.substring(go(0), self.value(args[1]), self.value(args[2]) if len(args) > 2 else MAX_ROWS)
+            size = self.value(args[2]) if len(args) > 2 else MAX_ROWS
+            if len(args) > 2 and size > MAX_SUBSTRING:
+                raise QueryError(f"SUBSTRING takes up to {MAX_SUBSTRING} characters")
+            return scalar.substring(go(0), self.value(args[1]), size)
         if name == "REPLACE":
             return F.replace(go(0), go(1), go(2))
         if name == "CONCAT":
@@ -410,6 +414,8 @@ class Lowering:
         for c in near:
             column = scope.columns[c[2][0][1]][0]
             query, k = self.vector(c[2][1]), int(self.value(c[2][2]))
+            if not 0 <= k <= MAX_VECTOR_K:
+                raise QueryError(f"VECTOR_NEAR takes up to {MAX_VECTOR_K} rows")
             vector_ops.check_width(scope.frame, column, query)
             df = vector_ops.nearest(df, column, query, k, "cosine", scope.columns.get(("_key",), ("_key", ""))[0]).drop("_distance")
         return self.apply(df, scope, [c for c in rest if c not in first]) if near else df
@@ -571,11 +577,17 @@ class Lowering:
 
     loosely = False
 
+    def rows(self, e: tuple) -> int:
+        n = int(self.value(e))
+        if not 0 <= n <= MAX_ROWS:
+            raise QueryError(f"LIMIT and OFFSET go from 0 to {MAX_ROWS}")
+        return n
+
     def limited(self, s: Select, df: DataFrame) -> DataFrame:
         if s.offset is not None:
-            df = df.offset(int(self.value(s.offset)))
+            df = df.offset(self.rows(s.offset))
         if s.limit is not None:
-            df = df.limit(min(int(self.value(s.limit)), MAX_ROWS))
+            df = df.limit(self.rows(s.limit))
         return df
 
 

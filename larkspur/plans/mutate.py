@@ -23,6 +23,7 @@ from ..scratch import written
 from .lower import Lowering, Scope, lower_query, table_scope
 from .parser import Parser, conjuncts, walk
 
+MAX_INSERT_ROWS = 1_000_000
 METHODS = {"btree", "hash", "gin", "gist", "bm25", "spatial", "hnsw", "search"}
 
 
@@ -31,6 +32,7 @@ class Changes:
 
     def __init__(self):
         self.collections, self.keys, self.edge_types, self.count = set(), set(), set(), 0
+        self.frames: list[DataFrame] = []  # (key) of rows that statements found, written
 
 
 class Mutation:
@@ -81,6 +83,8 @@ class Mutation:
             if len(values) != len(columns):
                 raise QueryError(f"{len(columns)} columns, {len(values)} values")
             rows.append({c: self.constant(v) for c, v in zip(columns, values)})
+            if len(rows) > MAX_INSERT_ROWS:
+                raise QueryError(f"INSERT takes {MAX_INSERT_ROWS} rows")
             if not p.sign(","):
                 break
         p.end()
@@ -221,8 +225,7 @@ class Mutation:
     def note(self, name: str, hit: DataFrame, n: int) -> None:
         self.changes.collections.add(name)
         self.changes.count += n
-        if n <= 10_000:
-            self.changes.keys |= {f"{name}/{r[0]}" for r in hit.select("_key").collect()}
+        self.changes.frames.append(hit.select(F.concat(F.lit(f"{name}/"), "_key").alias("key")))
 
     def assignments(self, p: Parser) -> dict:
         sets = {}

@@ -15,11 +15,11 @@ class Frames:
     def __init__(self, engine: Engine):
         self.engine = engine
 
-    def query(self, text: str, params=None, index_col=None) -> pd.DataFrame:
+    def query(self, text: str, params: list | None = None, index_col: str | None = None) -> pd.DataFrame:
         got = self.engine.sql(text, params).toPandas()
         return got.set_index(index_col) if index_col and index_col in got.columns else got
 
-    def load_nodes(self, df: pd.DataFrame, collection: str, *, vector_cols=None, mapping=None, id_col="_key") -> int:
+    def load_nodes(self, df: pd.DataFrame, collection: str, *, vector_cols: list[str] | None = None, mapping: dict[str, str] | None = None, id_col: str = "_key") -> int:
         """Rows become records; mapping renames columns, vector_cols are cast to arrays of float."""
         renamed = df.rename(columns={id_col: "_key", **(mapping or {})})
         vectors = [(mapping or {}).get(c, c) for c in vector_cols or []]
@@ -36,7 +36,7 @@ class Frames:
             rows.append(row)
         return self.engine._mutate(lambda m: m.put(collection, rows)) if rows else 0
 
-    def load_edges(self, df: pd.DataFrame, *, source_collection=None, source_col, target_collection=None, target_col, meta_col=None, weight_col=None, edge_type_col=None, edge_type=None) -> int:
+    def load_edges(self, df: pd.DataFrame, *, source_collection: str | None = None, source_col: str, target_collection: str | None = None, target_col: str, meta_col: str | None = None, weight_col: str | None = None, edge_type_col: str | None = None, edge_type: str | None = None) -> int:
         """One edge a row; a weight becomes the attribute `weight`, a JSON object in meta_col more attributes."""
         if not (edge_type or edge_type_col):
             raise ValueError("give edge_type or edge_type_col")
@@ -49,7 +49,7 @@ class Frames:
             edges.append((slug(source_collection, r[source_col]), slug(target_collection, r[target_col]), edge_type or str(r[edge_type_col]), attrs))
         return self.engine.link_many(edges) if edges else 0
 
-    def create_collection(self, name: str, fields: dict, fulltext_index=(), vector_index=(), spatial_index=(), range_index=(), hash_index=()) -> None:
+    def create_collection(self, name: str, fields: dict[str, str], fulltext_index: tuple[str, ...] = (), vector_index: tuple[str, ...] = (), spatial_index: tuple[str, ...] = (), range_index: tuple[str, ...] = (), hash_index: tuple[str, ...] = ()) -> None:
         self.engine.execute(f"CREATE TABLE {name} ({', '.join(f'{k} {v}' for k, v in fields.items())})")
         for method, columns in (("hash", hash_index), ("btree", range_index), ("spatial", spatial_index), ("hnsw", vector_index), ("bm25", fulltext_index)):
             for c in columns:

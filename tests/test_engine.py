@@ -133,6 +133,48 @@ def test_shortest_paths(places):
             places.sql(f"SELECT f.name FROM MATCH SHORTEST (f){bad}(g) WHERE f._key = 'halts/mid' AND g._key = 'halts/hill'")
 
 
+def test_shortest_paths_against_python(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = sorted({(f"p/{i}", f"p/{rng.randrange(60)}", rng.choice("xy")) for i in range(60) for _ in range(2)})
+        df = spark.createDataFrame(edges, "src string, dst string, type string")
+        for goal in ("p/0", "p/7", "p/41", "p/none"):
+            best, level = {"p/0": (("p/0", ""),)}, {"p/0": (("p/0", ""),)}
+            while level and goal not in best:
+                grown = {}
+                for a, b, t in edges:
+                    if a in level and b not in best:
+                        grown[b] = min(grown.get(b, ((chr(0x10FFFF), ""),)), (*level[a], (b, t)))
+                best, level = best | grown, grown
+            want = [([n for n, _ in best[goal]], [t for _, t in best[goal]][1:])] if goal in best else []
+            for most in (20_000, 3):
+                got = [(r["nodes"], r["types"]) for r in graph.shortest_path(df, "p/0", goal, most=most).collect()]
+                assert got == want, (seed, goal, most)
+
+
+def test_caps_are_errors(spark, chain):
+    for text in (f"SELECT _key FROM stop LIMIT {2**31}", "SELECT s._key FROM MATCH (s:stop)-[:then*1..100001]->(t)", "SELECT SUBSTRING(_key, 1, 100000001) AS s FROM stop"):
+        with pytest.raises(QueryError):
+            chain.sql(text)
+    with pytest.raises(QueryError):
+        graph.bfs(spark.createDataFrame([("a",)], "node string"), spark.createDataFrame([("a", "b")], "src string, dst string"), 100_001)
+    e = Engine(spark).register("v", spark.createDataFrame([("a", [1.0])], "_key string, emb array<float>"))
+    with pytest.raises(QueryError):
+        e.sql("SELECT _key FROM v WHERE VECTOR_NEAR(emb, [1], 1000001)")
+
+
+def test_every_changed_key_is_published(spark):
+    e, events = Engine(spark), []
+    e.register("n", spark.range(12_000).selectExpr("cast(id AS string) AS _key", "id AS v"))
+    e.execute("UPDATE n SET v = 1 WHERE v < 3")  # nobody listens
+    e.subscribe_changes(events.append)
+    e.execute("UPDATE n SET v = -1 WHERE v > 1")
+    e.execute("DELETE FROM n WHERE v = -1")
+    assert [len(x["keys"]) for x in events] == [11_997, 11_997] and "n/11999" in events[0]["keys"]
+
+
 def test_bfs_against_python(spark):
     import random
 
