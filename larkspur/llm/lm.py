@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import opened, squeezed
 from .words import Types, word_hash
 
 ORDER = 3
@@ -48,19 +49,6 @@ PART_GRAMS = 2_000_000
 SPARE_BITS = 24
 CHUNK = "chunk bigint, ids array<bigint>, lengths array<int>, types binary, words binary"
 _MARKS = np.array([0x5354415254303030, 0x5354415254303031, 0x454E443030303030], np.uint64)  # starts, end
-_CODEC = pa.Codec("zstd")
-
-
-def squeezed(x: np.ndarray) -> bytes:
-    """An array of integers, its bytes sorted by their place and compressed."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
-    return len(x).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
-
-
-def opened(cell: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(_CODEC.decompress(cell[8:], n * size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
