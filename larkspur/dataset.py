@@ -40,5 +40,11 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     # a small cyclic graph over nations: k -> (3k + 1) mod 25 and k -> (k + 7) mod 25
     e.register_edges("leads", "nation", "nation", lambda: read("nation").select("n_nationkey", F.expr("(n_nationkey * 3 + 1) % 25").alias("to")), "n_nationkey", "to", sound=True)
     e.register_edges("trades", "nation", "nation", lambda: read("nation").select("n_nationkey", F.expr("(n_nationkey + 7) % 25").alias("to"), F.expr("cast(n_nationkey % 4 as double)").alias("w")), "n_nationkey", "to", sound=True)
+    # a cyclic graph over all orders, two edges each: k -> (7k + 3) mod n and k -> (11k + 1) mod n
+    def follows():
+        n = read("orders").count()
+        return read("orders").select("o_orderkey", F.explode(F.array(*[F.struct(F.expr(f"(o_orderkey * {a} + {b}) % {n}").alias("to"), F.lit(float(a)).alias("w")) for a, b in ((7, 3), (11, 1))])).alias("e")).select("o_orderkey", "e.to", "e.w")
+
+    e.register_edges("follows", "orders", "orders", follows, "o_orderkey", "to", sound=True)
     e.index("documents", "bm25", "text").index("documents", "search", "source", "text").index("part", "bm25", "p_name")
     return e

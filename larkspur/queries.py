@@ -105,7 +105,6 @@ ask("match_count_distinct", "SELECT COUNT(*) AS lines, COUNT(DISTINCT p.p_brand)
 ask("match_any_edge", "SELECT b._collection AS c, COUNT(*) AS n FROM MATCH (a:supplier)-->(b) GROUP BY b._collection", "SELECT 'nation' AS c, count(*) AS n FROM supplier")
 ask("match_strings", "SELECT a.n_name || ' > ' || b.n_name AS route, CONCAT_WS('-', a._key, b._key) AS ks FROM MATCH (a:nation)-[:leads]->(b:nation)", "SELECT x.n_name || ' > ' || y.n_name AS route, x.n_nationkey || '-' || y.n_nationkey AS ks FROM nation x JOIN nation y ON y.n_nationkey = (x.n_nationkey * 3 + 1) % 25")
 ask("shortest_path", "SELECT a.n_name AS a, b.n_name AS b, length(r) AS hops FROM MATCH SHORTEST (a:nation)-[r*]->(b:nation) WHERE a._key = '2' AND b._key = '11'", f"WITH RECURSIVE {_LEADS}, w AS (SELECT 2 AS b, 0 AS k UNION SELECT d, k + 1 FROM w JOIN both_ ON s = b WHERE k < 25) SELECT x.n_name AS a, y.n_name AS b, cast((SELECT min(k) FROM w WHERE b = 11) AS integer) AS hops FROM nation x, nation y WHERE x.n_nationkey = 2 AND y.n_nationkey = 11")
-ask("select_graph", "SELECT GRAPH FROM MATCH (a:nation)-[:leads*1..2]->(b:nation) WHERE a._key = '7'", None)
 
 
 @call("bfs_hops", f"WITH RECURSIVE {_LEADS}, w AS (SELECT 0 AS b, 0 AS k UNION ALL SELECT d, k + 1 FROM w JOIN both_ ON s = b WHERE k < 4) SELECT 'nation/' || b AS node, cast(min(k) AS integer) AS depth FROM w GROUP BY b")
@@ -207,7 +206,6 @@ def _(e: Engine) -> DataFrame:
 
 ask("search", "SELECT doc_id FROM documents WHERE SEARCH('license apache')", f"SELECT doc_id FROM documents WHERE list_contains({_TOK.format('text')}, 'license') AND list_contains({_TOK.format('text')}, 'apache')")
 ask("search_typo", "SELECT doc_id FROM documents WHERE SEARCH('licensf')", f"SELECT doc_id FROM documents WHERE len(list_filter({_TOK.format('text')}, lambda x: levenshtein(x, 'licensf') <= 1)) > 0")
-ask("search_score", "SELECT doc_id, SEARCH_SCORE('license apache') AS s FROM documents WHERE SEARCH('license apache')", None)
 
 
 @call("trigrams", "SELECT p_partkey, len(list_distinct([substring(lower(p_name), i, 3) FOR i IN range(1, greatest(length(p_name) - 1, 1))])) AS n FROM part")
@@ -245,7 +243,6 @@ _ZONE = "SELECT n_nationkey, 115 + cast(n_nationkey % 5 AS double) * 0.2 AS w, -
 ask("st_contains", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, POINT(115.27 -8.52))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE 115.27 > w AND 115.27 < w + 0.15 AND -8.52 > s AND -8.52 < s + 0.15")
 ask("st_contains_polygon", "SELECT n_nationkey FROM zones WHERE ST_Contains(geometry, POLYGON((115.22 -8.57, 115.3 -8.57, 115.3 -8.5, 115.22 -8.57)))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE 115.22 > w AND 115.3 < w + 0.15 AND -8.57 > s AND -8.5 < s + 0.15")
 ask("st_intersects", "SELECT n_nationkey FROM zones WHERE ST_Intersects(geometry, POLYGON((115.1 -8.9, 115.5 -8.9, 115.5 -8.45, 115.1 -8.45, 115.1 -8.9)))", f"SELECT n_nationkey FROM ({_ZONE}) WHERE w < 115.5 AND w + 0.15 > 115.1 AND s < -8.45 AND s + 0.15 > -8.9")
-ask("st_centroid", "SELECT n_nationkey, ST_Centroid(geometry) AS c FROM zones", None)
 _SIDES = "(SELECT n_nationkey, s AS a, w AS b, s AS c, w + 0.15 AS d FROM z UNION ALL SELECT n_nationkey, s, w + 0.15, s + 0.15, w + 0.15 FROM z UNION ALL SELECT n_nationkey, s + 0.15, w + 0.15, s + 0.15, w FROM z UNION ALL SELECT n_nationkey, s + 0.15, w, s, w FROM z)"
 ask("st_perimeter", "SELECT n_nationkey, ST_Perimeter(geometry) AS m, ST_Length(geometry) AS len FROM zones", vincenty_sql(_SIDES, "n_nationkey", "a", "b", "c", "d").replace("WITH ", f"WITH z AS ({_ZONE}), ", 1) + " SELECT n_nationkey, round(sum(metres), 2) AS m, cast(0 AS double) AS len FROM v GROUP BY 1", digits=2)
 
@@ -303,3 +300,6 @@ def _(e: Engine) -> DataFrame:
 def _(e: Engine) -> DataFrame:
     e.execute("CREATE MATERIALIZED VIEW rich AS SELECT c._key AS id, c.c_name AS name, n.n_name AS nation FROM MATCH (c:customer)-[:in_nation]->(n:nation) WHERE c.c_acctbal > 9000")
     return e.sql("SELECT name, nation FROM rich")
+
+
+from . import statements  # noqa: E402, F401  it registers more queries here
