@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -10,17 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it (no effect once installed there)."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-    return spark
-
+from ..scratch import folder, written  # noqa: F401
+from ..session import ready  # noqa: F401
 
 def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
     """A table; spread deals the rows of one that lies in fewer pieces than there are cores, for work in Python.
@@ -35,23 +25,8 @@ def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) ->
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
-
-    Only a local master may go without that setting; it gets a folder under the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, so a lost executor costs nothing before it."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new path in the folder that all executors share (spark.checkpoint.dir)."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int, seed: int = 17) -> DataFrame:

@@ -13,7 +13,8 @@ array: equal suffixes still meet, and the result is the same, but each suffix cr
 
 Defined results: pages of one host with equal token streams are one page, so a copy doesn't empty its original, and
 repeated rows all get the same text. NULL and empty html have the text ''. A NULL or broken url belongs to
-the host ''. An empty table gives no rows. Other columns are ignored.
+the host ''. Rows without a page_id are pages like others. Very long pages are taken whole. An empty table gives no rows.
+Other columns, of any names, are ignored.
 """
 
 from __future__ import annotations

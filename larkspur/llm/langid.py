@@ -16,7 +16,8 @@ the blocks follow. No Python loop runs over words.
 
 Defined results: NULL, empty and letterless texts have lang NULL, share 0, no spans and are rejected. Words without
 letters follow their neighbours and don't count. With no labelled document everything is rejected. Of languages
-with equal shares the first by name wins. Repeated rows are labelled each for itself, columns of other names stay.
+with equal shares the first by name wins. Very long texts are labelled whole, and rows without a doc_id like others.
+Repeated rows are labelled each for itself, an empty table gives no rows, columns of other names stay.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The training sample is at most about SAMPLE_DOCS labelled documents, those of th
 of it isn't trained on but sets the threshold: the score above which KEEP_RECALL of the good ones stay. Scoring
 takes every document, whole.
 
-Defined results: NULL, empty and blank texts have probability NULL and aren't kept. A doc_id with several labels
+Defined results: NULL, empty and blank texts have probability NULL and aren't kept. Very long texts are scored whole. A
+score at the threshold is kept. Rows without a doc_id are scored, but not trained on. A doc_id with several labels
 counts by the least; labels that are NULL or without a document are ignored. Where no label or only one class is
 known, every document with words has probability NULL and is kept. Repeated rows are scored each for itself; an
 empty table gives no rows; other columns, of any names, are left alone.

@@ -337,6 +337,74 @@ def test_quality_trains_in_full():
     assert (given["epochs"].default, given["batch"].default) == (12, 32)
 
 
+def plain_training(texts, labels, epochs, rate, batch, seed):
+    """quality.train in plain loops: a dict of feature vectors, one document and word at a time."""
+    rng = np.random.default_rng(seed)
+    docs = [t.split() for t in texts]
+    of = {w: words.features([w], quality.BUCKETS, quality.GRAMS)[0].tolist() for d in docs for w in d}
+    rng.random(len(docs)) if len(docs) >= 50 else None
+    start = rng.normal(0, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    e, seen_e = {}, {}
+    for f in {f for fs in of.values() for f in fs}:
+        e[f], seen_e[f] = [float(x) for x in start[f]], 1e-6
+    dims, classes = range(quality.DIM), range(2)
+    w, bias = [[0.0, 0.0] for _ in dims], [0.0, 0.0]
+    seen_w, seen_b = [[1e-6, 1e-6] for _ in dims], [1e-6, 1e-6]
+    pool = [i for i, d in enumerate(docs) if d]
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(pool), max(1, len(pool) // batch)):
+            grad_e, grad_w, grad_b = {}, [[0.0, 0.0] for _ in dims], [0.0, 0.0]
+            for i in part:
+                hidden = [sum(sum(e[f][d] for f in of[x]) / len(of[x]) for x in docs[i]) / len(docs[i]) for d in dims]
+                z = [sum(hidden[d] * w[d][c] for d in dims) + bias[c] for c in classes]
+                p = [math.exp(x - max(z)) for x in z]
+                err = [x / sum(p) - (c == labels[i]) for c, x in enumerate(p)]
+                for c in classes:
+                    grad_b[c] += err[c]
+                    for d in dims:
+                        grad_w[d][c] += hidden[d] * err[c]
+                back = [sum(err[c] * w[d][c] for c in classes) / len(docs[i]) for d in dims]
+                for x in docs[i]:
+                    for f in of[x]:
+                        g = grad_e.setdefault(f, [0.0] * quality.DIM)
+                        for d in dims:
+                            g[d] += back[d] / len(of[x])
+            for f, g in grad_e.items():
+                seen_e[f] += sum(x * x for x in g) / quality.DIM
+                e[f] = [v - rate * x / math.sqrt(seen_e[f]) for v, x in zip(e[f], g)]
+            for c in classes:
+                seen_b[c] += grad_b[c] ** 2
+                for d in dims:
+                    seen_w[d][c] += grad_w[d][c] ** 2
+                    w[d][c] -= rate * grad_w[d][c] / math.sqrt(seen_w[d][c])
+                bias[c] -= rate * grad_b[c] / math.sqrt(seen_b[c])
+
+    def good(text):
+        d = text.split()
+        hidden = [sum(sum(e[f][k] for f in of[x]) / len(of[x]) for x in d) / len(d) for k in dims]
+        z = [sum(hidden[k] * w[k][c] for k in dims) + bias[c] for c in classes]
+        return math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1]))
+
+    return good
+
+
+def test_quality_against_plain_loops(rows):
+    texts = [" ".join(r["text"].split()[:25]) for r in rows[:14]] + ["spam spam spam", "one", "a b a b spam"]
+    labels = [i % 2 for i in range(len(texts))]
+    model = quality.train(texts, labels, epochs=3, rate=0.5, batch=4, seed=3)
+    good = plain_training(texts, labels, 3, 0.5, 4, 3)
+    got = quality.score(model, texts)
+    assert np.allclose(got, [good(t) for t in texts], atol=2e-3) and got.std() > 0.05
+
+
+def test_quality_keeps_a_score_at_the_threshold(spark, rows):
+    model = quality.train([r["text"] for r in rows[:60]], [i % 2 for i in range(60)])
+    p = quality.score(model, [rows[0]["text"]])[0]
+    model.threshold = float(p)
+    data = table(spark, [(1, rows[0]["text"], None, None, None), (None, rows[0]["text"], None, None, None)])
+    assert [r["keep"] for r in quality.quality(data, model).collect()] == [True, True]
+
+
 def test_quality_on_awkward_rows(spark, awkward, docs):
     labels = spark.createDataFrame([(r["doc_id"], r["doc_id"] % 2, 0) for r in docs.collect()] + [(None, 1, 0), (3, None, 0), (10**9, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {(r["doc_id"], r["quality"] is None, r["keep"]) for r in quality.quality(awkward, quality.fit(docs, labels)).collect()}
