@@ -102,3 +102,25 @@ def opened(cell: bytes, kind) -> np.ndarray:
     n, size = int.from_bytes(cell[:8], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(_CODEC.decompress(cell[8:], n * size, asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+SPARE_BITS = 24
+
+
+def key_bits(things: int) -> int:
+    """Bits of a hash so that another of so many things has a thing's hash with a chance of 2**-SPARE_BITS."""
+    return min(64, max(1, things).bit_length() + SPARE_BITS)
+
+
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets of key: joined by key it stays where it is."""
+    spark = df.sparkSession
+    path, table = scratch(spark, name), f"larkspur_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def joined_by(df: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """df, from written_by, with the columns of more by key where it has any."""
+    return df.join(more.hint("shuffle_merge"), key, "left")

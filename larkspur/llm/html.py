@@ -1,39 +1,45 @@
-"""HTML extraction with one suffix array per host.
+"""HTML extraction with a suffix array per host, in chunks that are merged.
 
-A page's visible text is its tokens outside tags, comments, scripts and styles, with entities decoded. The token
-streams of a host's pages are laid end to end, with a separator of its own after each, and their suffixes are sorted
-by their first MIN_RUN tokens (prefix doubling). Neighbours that agree so far stand in one run of the array; where a
-run holds suffixes of two distinct pages, those tokens are repeated across pages. Every repeated substring of
-MIN_RUN tokens or more is covered by such suffixes, so marking MIN_RUN tokens from each finds exactly all
-of them. Covered tokens are boilerplate and go; the runs between them stay.
+A page's visible text is its tokens outside tags, comments, scripts and styles, with entities decoded. The pages that
+a task reads form chunks of about CHUNK_WORDS tokens. A chunk's token streams are laid end to end, with a separator of
+its own after each, and their suffixes are sorted by their first MIN_RUN tokens (prefix doubling over tokens that are
+told apart by host): a suffix array, in which equal prefixes stand in one run. Each run of a chunk is then merged with
+those of all other chunks: its host and tokens as a hash, with whether one page or several have it, goes to a part by
+ranges of the hash, and the part answers whether two distinct pages of the corpus have it. So a host of any size is
+spread over as many tasks as its pages, no task holds a host, and no page crosses the network.
 
-A task needs about 30 bytes for each token of its host. A host of more than HOST_CHARS characters of html, too many
-for one task, has its suffixes dealt over tasks by a hash of their first MIN_RUN tokens instead of sorted in one
-array: equal suffixes still meet, and the result is the same, but each suffix crosses the network.
+Every repeated substring of MIN_RUN tokens or more is covered by such suffixes, so marking MIN_RUN tokens from each
+finds exactly all of them. Covered tokens are boilerplate and go; the runs between them stay. Within a chunk tokens are
+compared; across chunks hashes are, with SPARE_BITS more bits than the corpus' suffixes need.
 
 Defined results: pages of one host with equal token streams are one page, so a copy doesn't empty its original, and
 repeated rows all get the same text. NULL and empty html have the text ''. A NULL or broken url belongs to
-the host ''. Rows without a page_id are pages like others. Very long pages are taken whole. An empty table gives no rows.
-Other columns, of any names, are ignored.
+the host ''. Rows without a page_id are pages like others. Very long pages are taken whole, in a chunk of their own if
+need be. An empty table gives no rows. Other columns, of any names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from html import unescape
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import key_bits, opened, squeezed
 from .words import Types, word_hash
 
 MIN_RUN = 8
-HOST_CHARS = 200_000_000
+CHUNK_WORDS = 1_500_000
+PART_KEYS = 2_000_000
 SCHEMA = "page_id bigint, host string, text string, n_tokens int, n_removed int"
+CHUNK = "chunk bigint, ids array<bigint>, hosts array<string>, contents array<binary>, tokens bigint, texts binary"
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z!?][^\s>/]*)[^>]*>")
@@ -54,17 +60,6 @@ def _host():
     return F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
 
 
-def _pages(pages: DataFrame) -> DataFrame:
-    """(page_id, host, text, n, content): content is a hash of the text."""
-
-    def run(batch):
-        texts = [visible(h) for h in batch.column("html").to_pylist()]
-        return {"page_id": batch.column("page_id"), "host": batch.column("host"), "text": texts, "n": [t.count(" ") + 1 if t else 0 for t in texts], "content": [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]}
-
-    slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), _host().alias("host"), "html")
-    return common.map_arrow(slim, run, "page_id bigint, host string, text string, n int, content bigint")
-
-
 def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `depth` tokens, and where in it each distinct prefix starts.
 
@@ -82,7 +77,8 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             rank[order] = np.cumsum(first, dtype=np.int32)
             key = rank.astype(np.int64)
             key *= n + 1
-            key[: n - k + half] += rank[k - half :]
+            rest = max(0, n - k + half)
+            key[:rest] += rank[n - rest :]
         order = np.argsort(key)
         key = key[order]
         return order, np.append(True, key[1:] != key[:-1])
@@ -91,89 +87,169 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(first)
 
 
-def covered(streams: list[np.ndarray], min_run: int) -> list[np.ndarray]:
-    """Of each page's token numbers, which are in a run of min_run tokens or more that another page has too."""
-    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-    if len(streams) < 2 or not sizes.any():
-        return [np.zeros(n, bool) for n in sizes]
-    top = max(int(s.max()) for s in streams if len(s)) + 1
-    ids = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([top + i], s.dtype))]).astype(np.int32)
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    order, start = suffix_array(ids, min_run)
-    pages = np.repeat(np.arange(len(streams), dtype=np.int32), sizes + 1)[order]
-    shared = np.minimum.reduceat(pages, start) != np.maximum.reduceat(pages, start)
-    hits = order[np.repeat(shared, np.diff(np.append(start, len(order))))]
-    marked = np.zeros(len(ids) + min_run, bool)
-    for j in range(min_run):
-        marked[hits + j] = True
-    return [marked[b : b + n] for b, n in zip(begin, sizes)]
-
-
 def _kept(text: str, gone: np.ndarray) -> str:
     return " ".join(w for w, g in zip(text.split(" "), gone) if not g) if gone.any() else text
 
 
-def _by_host(rows: DataFrame, min_run: int) -> DataFrame:
-    """One suffix array for each host."""
-
-    def run(table: pa.Table) -> pa.Table:
-        texts = table.column("text").to_pylist()
-        types, seen = Types(), {}
-        for t in sorted(set(texts)):
-            seen[t] = types.ids(t)
-        gone = dict(zip(seen, covered(list(seen.values()), min_run)))
-        return pa.table({
-            "page_id": table.column("page_id"), "host": table.column("host"), "text": [_kept(t, gone[t]) for t in texts], "n_tokens": table.column("n"),
-            "n_removed": pa.array([int(gone[t].sum()) for t in texts], pa.int32()),
-        })
-
-    return rows.groupBy("host").applyInArrow(run, SCHEMA)
-
-
-def _by_prefix(rows: DataFrame, min_run: int) -> DataFrame:
-    """Suffixes dealt by their first min_run tokens, for hosts of any size."""
-
-    def windows(batch):
-        host, content, prefix, at = [], [], [], []
-        for h, c, t in zip(batch.column("host").to_pylist(), batch.column("content").to_pylist(), batch.column("text").to_pylist()):
-            words = word_hash(t.split(" ")) if t else np.zeros(0, np.uint64)
-            m = max(0, len(words) - min_run + 1)
-            x = np.zeros(m, np.uint64)
-            for j in range(min_run):
-                x = common.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ words[j : j + m])
-            host += [h] * m
-            content += [c] * m
-            prefix.append(x.view(np.int64))
-            at.append(np.arange(m, dtype=np.int32))
-        return {"host": host, "content": content, "prefix": np.concatenate(prefix), "at": np.concatenate(at)}
-
-    distinct = rows.dropDuplicates(["host", "content"]).select("host", "content", "text")
-    suffixes = common.written(common.map_arrow(distinct, windows, "host string, content bigint, prefix bigint, at int"), "suffixes")
-    shared = suffixes.groupBy("host", "prefix").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("host", "prefix")
-    hits = suffixes.join(shared, ["host", "prefix"], "left_semi").groupBy("host", "content").agg(F.collect_list("at").alias("hits"))
+def _chunks(pages: DataFrame) -> DataFrame:
+    """Pages in chunks: ids, hosts, digests of the visible texts, and the texts, compressed together."""
+
+    def row(number, ids, hosts, texts, tokens):
+        contents = [xxhash.xxh3_128_digest(t) for t in texts]
+        cells = number, ids, hosts, contents, tokens, _packed(texts)
+        return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(cells, arrow)], schema=arrow)
+
+    def run(batches):
+        number, ids, hosts, texts, tokens = pyspark.TaskContext.get().partitionId() << 20, [], [], [], 0
+        for batch in batches:
+            for i, host, html in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                text = visible(html)
+                n = text.count(" ") + 1 if text else 0
+                if ids and tokens + n > CHUNK_WORDS:
+                    yield row(number, ids, hosts, texts, tokens)
+                    number, ids, hosts, texts, tokens = number + 1, [], [], [], 0
+                ids.append(i)
+                hosts.append(host)
+                texts.append(text)
+                tokens += n
+        if ids:
+            yield row(number, ids, hosts, texts, tokens)
+
+    arrow = common.arrow_schema(CHUNK)
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), _host().alias("host"), "html").mapInArrow(run, CHUNK)
+
+
+_CODEC = pa.Codec("zstd", compression_level=6)
+
+
+def _packed(texts: list[str]) -> bytes:
+    joined = "\n".join(texts).encode("utf-8", "surrogatepass")
+    return len(joined).to_bytes(8, "little") + _CODEC.compress(joined, asbytes=True)
+
+
+def _texts(cell: bytes) -> list[str]:
+    return _CODEC.decompress(cell[8:], int.from_bytes(cell[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+
+
+class Suffixes:
+    """A chunk's suffix array: runs of suffixes of equal first tokens, and a key for each run that has whole prefixes."""
+
+    def __init__(self, row: dict, min_run: int, bits: int):
+        self.texts, types = _texts(row["texts"]), Types()
+        streams = [types.ids(t) for t in self.texts]
+        self.sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+        names, host = np.unique(row["hosts"], return_inverse=True)
+        own = np.concatenate(streams).astype(np.int64) * len(names) + np.repeat(host, self.sizes)
+        _, own = np.unique(own, return_inverse=True)
+        top = int(own.max()) + 1 if len(own) else 0
+        begin = np.cumsum(self.sizes + 1) - self.sizes - 1
+        ids = np.empty(int((self.sizes + 1).sum()), np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[begin + self.sizes] = False
+        ids[inside] = own
+        ids[~inside] = top + np.arange(len(streams))
+        self.begin, self.length, self.min_run = begin, len(ids), min_run
+        page = np.repeat(np.arange(len(streams)), self.sizes + 1)
+        whole = np.arange(len(ids)) - begin[page] + min_run <= self.sizes[page]  # prefixes that end within the page
+        order, start = suffix_array(ids, min_run)
+        ok = whole[order[start]]
+        counts = np.diff(np.append(start, len(order)))
+        order, counts = order[np.repeat(ok, counts)], counts[ok]
+        # keys of the runs' prefixes: host, then each token
+        hashes = np.zeros(len(ids), np.uint64)
+        hashes[inside] = word_hash(list(types))[np.concatenate(streams)] if len(types) else 0
+        first = order[np.cumsum(counts) - counts]
+        x = word_hash([str(n) for n in names], 77)[host[page[first]]] if len(first) else np.zeros(0, np.uint64)
+        for j in range(min_run):
+            x = common.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ hashes[first + j])
+        low = np.uint64(64 - bits)
+        self.keys = x >> low << low
+        self.order, self.counts, self.page = order, counts, page
+
+    def pages(self, muted: list[int]) -> np.ndarray:
+        """0, 1 or 2 (or more): how many distinct pages have each run; muted pages are copies of others."""
+        page = self.page[self.order]
+        start = np.cumsum(self.counts) - self.counts
+        live = np.ones(len(self.sizes), bool)
+        live[muted] = False
+        least = np.where(live[page], page, np.iinfo(np.int64).max)
+        most = np.where(live[page], page, -1)
+        if not len(start):
+            return np.zeros(0, np.uint8)
+        lo, hi = np.minimum.reduceat(least, start), np.maximum.reduceat(most, start)
+        return np.where(hi < 0, 0, np.where(lo == hi, 1, 2)).astype(np.uint8)
+
+    def kept(self, shared: np.ndarray) -> tuple[list[str], list[int]]:
+        """Each page's text without the runs that are shared, and how many tokens went."""
+        hits = self.order[np.repeat(shared, self.counts)]
+        marked = np.zeros(self.length + self.min_run, bool)
+        for j in range(self.min_run):
+            marked[hits + j] = True
+        gone = [marked[b : b + n] for b, n in zip(self.begin, self.sizes)]
+        return [_kept(t, g) for t, g in zip(self.texts, gone)], [int(g.sum()) for g in gone]
+
+
+def _copies(chunks: DataFrame) -> DataFrame:
+    """(chunk, muted): the places of pages whose host and text an earlier page has."""
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("hosts", "contents")).alias("place", "p")).select("chunk", "place", F.col("p.hosts").alias("host"), F.col("p.contents").alias("content"))
+    first = each.groupBy("host", "content").agg(F.min(F.struct("chunk", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = each.join(first, ["host", "content"]).filter("chunk <> first.chunk or place <> first.place")
+    return again.groupBy("chunk").agg(F.collect_list("place").alias("muted"))
+
+
+def extracted(pages: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(page_id, host, text, n_tokens, n_removed) of each page; text is what is left, n_tokens counts before."""
+    common.ready(pages.sparkSession)
+    chunks = common.written_by(_chunks(pages), "chunks", "chunk")
+    tokens, pieces = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    parts, bits = max(1, ceil(tokens / PART_KEYS)), key_bits(tokens)
+    low = np.uint64(64 - bits)
+    muted = common.written(_copies(chunks), "muted")
+
+    def ask(batch):
+        out = {"part": [], "chunk": [], "keys": [], "n": []}
+        for r in batch.to_pylist():
+            s = Suffixes(r, min_run, bits)
+            n = s.pages(r["muted"] or [])
+            order = np.argsort(s.keys, kind="stable")
+            keys, n = s.keys[order], n[order]
+            borders = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else []
+            for p, (a, b) in enumerate(zip([0, *borders], [*borders, len(keys)])):
+                if a < b:
+                    for c, x in zip(out, (p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0)) >> low), squeezed(n[a:b]))):
+                        out[c].append(x)
+        return out
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        n = np.concatenate([opened(x, np.uint8) for x in table.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        shared = (np.bincount(at, n) > 1)[at]
+        ends = np.cumsum([len(k) for k in keys])
+        cells = [squeezed(np.packbits(shared[e - len(k) : e])) for k, e in zip(keys, ends)]
+        sizes = pa.array([len(k) for k in keys], pa.int32())
+        return table.select(["chunk", "part"]).append_column("size", sizes).append_column("shared", pa.array(cells, pa.binary()))
+
+    # chunks stay where they are: what they are joined with goes to them
+    asked = common.map_arrow(common.joined_by(chunks, muted, "chunk").select("chunk", "hosts", "texts", "muted"), ask, "part int, chunk bigint, keys binary, n binary", rows=1)
+    answers = asked.groupBy("part").applyInArrow(merge, "chunk bigint, part int, size int, shared binary")
+    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "shared"))).alias("answers"))
 
     def cut(batch):
-        text, removed = [], []
-        for t, n, hits in zip(batch.column("text").to_pylist(), batch.column("n").to_pylist(), batch.column("hits").to_pylist()):
-            gone = np.zeros(n, bool)
-            for j in range(min_run if hits else 0):
-                gone[np.array(hits) + j] = True
-            text.append(_kept(t, gone))
-            removed.append(int(gone.sum()))
-        return {"page_id": batch.column("page_id"), "host": batch.column("host"), "text": text, "n_tokens": batch.column("n"), "n_removed": removed}
-
-    return common.map_arrow(rows.join(hits, ["host", "content"], "left"), cut, SCHEMA)
-
-
-def extracted(pages: DataFrame, min_run: int = MIN_RUN, host_chars: int = HOST_CHARS) -> DataFrame:
-    """(page_id, host, text, n_tokens, n_removed) of each page; text is what is left, n_tokens counts before."""
-    pages = pages.withColumn("_host", _host())
-    sizes = pages.groupBy("_host").agg(F.sum(F.length("html")).alias("n")).filter(F.col("n") > host_chars)
-    large = common.written(sizes.select("_host"), "hosts")
-    if not large.count():
-        return _by_host(_pages(pages), min_run)
-    small = _by_host(_pages(pages.join(large, "_host", "left_anti")), min_run)
-    return small.unionByName(_by_prefix(common.written(_pages(pages.join(large, "_host", "left_semi")), "pages"), min_run))
+        out = {f.name: [] for f in arrow}
+        for r in batch.to_pylist():
+            s = Suffixes(r, min_run, bits)
+            shared = np.zeros(len(s.keys), bool)
+            if len(s.keys):
+                bits_ = [np.unpackbits(opened(a["shared"], np.uint8), count=a["size"]) for a in r["answers"]]
+                shared[np.argsort(s.keys, kind="stable")] = np.concatenate(bits_).astype(bool)
+            texts, gone = s.kept(shared)
+            for c, x in zip(out, (r["ids"], r["hosts"], texts, s.sizes.tolist(), gone)):
+                out[c] += x
+        return out
+
+    arrow = common.arrow_schema(SCHEMA)
+    return common.map_arrow(common.joined_by(chunks, common.written(answers, "answers"), "chunk").select("chunk", "ids", "hosts", "texts", "answers"), cut, SCHEMA, rows=1)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

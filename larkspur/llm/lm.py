@@ -18,7 +18,7 @@ states, else its own n-grams would make any text likely. A copy is another docum
 No task or driver holds the automaton. A chunk of documents (about CHUNK_WORDS words, as each task reads them) is kept
 as numbers of words; its distinct n-grams, as sorted hashes with their counts, go to parts by ranges of the hash; a
 part of at most about PART_GRAMS n-grams adds up and answers each chunk with the corpus' counts, in the chunk's order.
-A hash has SPARE_BITS more bits than the corpus' n-grams need, so at any size an n-gram has another's with a chance of
+A hash has common.SPARE_BITS more bits than the corpus' n-grams need, so at any size an n-gram has another's with a chance of
 one in 2**SPARE_BITS. A frequent n-gram is one number a chunk, so parts are even. What is gathered grows with the input,
 and nothing is broadcast. (Cells of a chunk and a part shrink as both grow in number: beyond a TB give both more memory.)
 
@@ -39,14 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import opened, squeezed
+from .common import key_bits, opened, squeezed
 from .words import Types, word_hash
 
 ORDER = 3
 PRIOR = 2.0
 CHUNK_WORDS = 2_000_000
 PART_GRAMS = 2_000_000
-SPARE_BITS = 24
 CHUNK = "chunk bigint, ids array<bigint>, lengths array<int>, types binary, words binary"
 _MARKS = np.array([0x5354415254303030, 0x5354415254303031, 0x454E443030303030], np.uint64)  # starts, end
 
@@ -113,11 +112,6 @@ class Stream:
         return at, np.uint64(k) << np.uint64(62) | x[at] >> np.uint64(2) >> low << low
 
 
-def key_bits(grams: int) -> int:
-    """Bits of the hash so that another of so many n-grams has an n-gram's key with a chance of 2**-SPARE_BITS."""
-    return min(62, max(1, grams).bit_length() + SPARE_BITS)
-
-
 def _requests(chunks: DataFrame, parts: int, bits: int, asks: bool, counts: bool) -> DataFrame:
     """(part, chunk, keys, n, asks): each chunk's distinct n-grams by parts, and how often it has them."""
     low = np.uint64(62 - bits)
@@ -208,7 +202,7 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     counted = chunks if own else common.written(_chunks(corpus), "corpus")
     size = F.aggregate(F.filter("lengths", lambda n: n >= 0), F.lit(0).cast("bigint"), lambda s, n: s + n + 1)
     symbols = int(counted.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
-    parts, bits = max(1, ceil(symbols / PART_GRAMS)), key_bits(symbols)
+    parts, bits = max(1, ceil(symbols / PART_GRAMS)), min(62, key_bits(symbols))
     requests = _requests(counted, parts, bits, own, True)
     requests = requests if own else requests.unionByName(_requests(chunks, parts, bits, True, False))
     answers = common.written(_answers(requests, parts), "answers")

@@ -615,33 +615,67 @@ def test_visible_text():
     assert html.visible(page) == "A & B one two three" and html.visible(None) == html.visible("") == ""
 
 
-def test_covered_runs_against_brute_force():
+def plain_extraction(pages, run):
+    """Of (host, tokens) of each page: which tokens stand in a run that another page of the host has, in plain loops."""
+    where = defaultdict(set)
+    for host, p in pages:
+        for k in range(len(p) - run + 1):
+            where[host, p[k : k + run]].add(p)
+    out = []
+    for host, p in pages:
+        marks = [False] * len(p)
+        for k in range(len(p) - run + 1):
+            if len(where[host, p[k : k + run]]) > 1:
+                marks[k : k + run] = [True] * run
+        out.append([w for w, m in zip(p, marks) if not m])
+    return out
+
+
+@pytest.mark.parametrize("run, chunk, part, split", [(1, 60, 50, 3), (3, 10**6, 10**6, 1), (8, 200, 100, 4), (40, 300, 10**6, 2)])
+def test_extraction_against_brute_force(spark, monkeypatch, run, chunk, part, split):
+    monkeypatch.setattr(html, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(html, "PART_KEYS", part)
     rng = np.random.default_rng(4)
-    for _ in range(40):
-        run, boiler = int(rng.integers(1, 9)), rng.integers(0, 6, 12)
-        pages = {tuple(np.concatenate([rng.integers(0, 12, rng.integers(0, 40)), boiler if rng.random() < 0.5 else [], rng.integers(0, 4, rng.integers(0, 20))]).astype(int)) for _ in range(6)}
-        pages = sorted(pages)
-        got = html.covered([np.array(p, np.int32) for p in pages], run)
-        where = defaultdict(set)
-        for i, p in enumerate(pages):
-            for k in range(len(p) - run + 1):
-                where[p[k : k + run]].add(i)
-        for p, marks in zip(pages, got):
-            want = np.zeros(len(p), bool)
-            for k in range(len(p) - run + 1):
-                want[k : k + run] |= len(where[p[k : k + run]]) > 1
-            assert (marks == want).all()
-
-
-def test_html_routes_agree_and_awkward_pages(spark):
+    word = lambda n, k: [f"w{x}" for x in rng.integers(0, k, n)]
+    boiler = [word(int(n), 30) for n in (3, 9, 60, 500)]
+    pages = []
+    for i in range(60):
+        tokens = word(int(rng.integers(0, 30)), 1000)
+        for b in boiler:
+            if rng.random() < 0.3:
+                tokens += b + word(int(rng.integers(0, 12)), 8 if i % 3 else 1000)
+        pages.append((f"h{i % 3}.org", tuple(tokens)))
+    pages += [pages[5], pages[11], ("h0.org", ()), ("", pages[5][1])]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}" if h else None, "<p>" + " ".join(t) + "</p>") for i, (h, t) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in html.extracted(df.repartition(split), run).collect()}
+    want = plain_extraction(pages, run)
+    assert len(got) == len(pages) and sum(len(w) < len(t) for w, (_, t) in zip(want, pages)) > 5
+    for i, (h, t) in enumerate(pages):
+        assert (got[i]["host"], got[i]["text"].split(), got[i]["n_tokens"], got[i]["n_removed"]) == (h, want[i], len(t), len(t) - len(want[i])), i
+
+
+def test_suffix_array_is_sorted():
+    ids = np.random.default_rng(2).integers(0, 4, 300).astype(np.int32)
+    for depth in (1, 5, 8, 31):
+        order, start = html.suffix_array(ids, depth)
+        prefixes = [tuple(ids[o : o + depth].tolist()) for o in order]
+        assert prefixes == sorted(prefixes) and [i for i in range(300) if i == 0 or prefixes[i] != prefixes[i - 1]] == start.tolist()
+
+
+def test_html_on_awkward_pages(spark, monkeypatch):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    extra = spark.createDataFrame([(900, None, "<p>one two</p>"), (901, "broken", None), (None, "http://x.org/1", ""), (902, "http://x.org/2", "<p>" + "w1 w2 w3 " * 20_000), (902, "http://x.org/2", "<p>" + "w1 w2 w3 " * 20_000)], "page_id bigint, url string, html string")
+    extra = spark.createDataFrame([(900, None, "<p>one two</p>"), (901, "broken", None), (None, "http://x.org/1", ""), (902, "http://x.org/2", "<p>" + "w1 w2 w3 " * 20_000), (902, "http://x.org/2", "<p>" + "w1 w2 w3 " * 20_000), (903, "http://x.org/3", "<p>" + "é" * 300_000 + " \ud83d\ude00")], "page_id bigint, url string, html string")
     every = pages.unionByName(extra)
     key = lambda df: sorted(map(str, (r[:] for r in df.collect())))
-    whole, dealt = html.extracted(every), html.extracted(every, host_chars=0)
-    assert key(whole) == key(dealt) and whole.count() == every.count()
-    assert whole.filter("n_removed > 0").count() > 3
-    assert [r["n_removed"] for r in whole.filter("page_id = 902").collect()] == [0, 0]  # copies don't empty each other
+    whole = key(html.extracted(every))
+    from pyspark.sql import functions as F
+
+    assert key(html.extracted(every.withColumns({c: F.lit(1) for c in ("host", "chunk", "text", "_host", "n", "ids", "muted")}).repartition(5))) == whole
+    monkeypatch.setattr(html, "CHUNK_WORDS", 3000)
+    got = html.extracted(every)
+    assert key(got) == whole and len(whole) == every.count()
+    assert got.filter("n_removed > 0").count() > 3
+    assert [r["n_removed"] for r in got.filter("page_id = 902").collect()] == [0, 0]  # copies don't empty each other
     assert html.extracted(every.limit(0)).count() == 0
 
 
