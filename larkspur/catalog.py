@@ -57,6 +57,7 @@ class Collection(Frame):
     def __init__(self, df, columns: list[ColumnDef] | None = None, body: str | None = None, auto_index: bool = False, key: str | None = None):
         super().__init__(df)
         self.key = key
+        self.postings: dict[tuple, object] = {}  # fields -> the stored index of this frame
         self.columns, self.body, self.auto_index = columns, body, auto_index
 
     @property
@@ -65,7 +66,7 @@ class Collection(Frame):
 
     @df.setter
     def df(self, df: DataFrame) -> None:
-        self._df, self.key = df, None  # changed rows needn't have the column any more
+        self._df, self.key, self.postings = df, None, {}  # changed rows needn't have the column any more
 
     @property
     def number(self) -> str | None:
@@ -89,9 +90,10 @@ class Catalog:
     collections: dict[str, Collection] = field(default_factory=dict)
     edges: dict[str, list[EdgePart]] = field(default_factory=dict)
     indexes: dict[str, tuple[str, str, tuple[str, ...]]] = field(default_factory=dict)  # name -> (collection, method, fields)
+    kept: set[tuple] = field(default_factory=set)  # (collection, fields) of text indexes to be stored
 
     def snapshot(self) -> Catalog:
-        return Catalog({k: copy.copy(v) for k, v in self.collections.items()}, {k: list(v) for k, v in self.edges.items()}, dict(self.indexes))
+        return Catalog({k: copy.copy(v) for k, v in self.collections.items()}, {k: list(v) for k, v in self.edges.items()}, dict(self.indexes), set(self.kept))
 
     def collection(self, name: str) -> Collection:
         name = name.removeprefix("public.")
@@ -144,6 +146,18 @@ class Catalog:
                 return list(fields)
         raise QueryError(f"SEARCH needs a search index on {name}")
 
+    def postings(self, name: str, fields: list[str]):
+        """The stored index of a collection's text fields, built when first used after each change; None without one."""
+        name, fields = name.removeprefix("public."), tuple(fields)
+        if (name, fields) not in self.kept:
+            return None
+        coll = self.collection(name)
+        if fields not in coll.postings:
+            from .operators.postings import stored
+
+            coll.postings[fields] = stored(coll.df, list(fields))
+        return coll.postings[fields]
+
     def has_index(self, name: str, method: str, column: str) -> bool:
         return any(c == name and m == method and column in f for c, m, f in self.indexes.values())
 

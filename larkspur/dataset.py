@@ -46,5 +46,5 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
         return read("orders").select("o_orderkey", F.explode(F.array(*[F.struct(F.expr(f"(o_orderkey * {a} + {b}) % {n}").alias("to"), F.lit(float(a)).alias("w")) for a, b in ((7, 3), (11, 1))])).alias("e")).select("o_orderkey", "e.to", "e.w")
 
     e.register_edges("follows", "orders", "orders", follows, "o_orderkey", "to", sound=True)
-    e.index("documents", "bm25", "text").index("documents", "search", "source", "text").index("part", "bm25", "p_name")
+    e.index("documents", "bm25", "text", stored=True).index("documents", "search", "source", "text", stored=True).index("part", "bm25", "p_name")
     return e

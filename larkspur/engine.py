@@ -61,8 +61,11 @@ class Engine:
         self.catalog.edges.setdefault(kind, []).append(EdgePart(source, target, made() if isinstance(df, DataFrame) else made, sound))
         return self
 
-    def index(self, collection: str, method: str, *fields: str) -> Engine:
+    def index(self, collection: str, method: str, *fields: str, stored: bool = False) -> Engine:
+        """Allow queries that need an index; a stored bm25 or search index is built when it is first used."""
         self.catalog.indexes[f"{collection}_{'_'.join(fields)}_{method}"] = (collection, method, fields)
+        if stored and method in ("bm25", "search"):
+            self.catalog.kept.add((collection, fields))
         return self
 
     def collection_names(self) -> list[str]:
@@ -348,7 +351,7 @@ class Engine:
         return Q(self, self.catalog.every())
 
     def bm25_search(self, collection: str, field: str, query: str, k: int) -> DataFrame:
-        return text_ops.bm25_search(self.catalog.nodes(collection), field, query, k)
+        return text_ops.bm25_search(self.catalog.nodes(collection), field, query, k, postings=self.catalog.postings(collection, [field]))
 
     def ilike(self, collection: str, field: str, needle: str) -> DataFrame:
         return self.catalog.nodes(collection).filter(F.contains(F.lower(field), F.lit(needle.lower())))

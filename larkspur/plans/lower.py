@@ -352,7 +352,8 @@ class Lowering:
                 if column is None:
                     raise QueryError(f"no column {'.'.join(c)}")
                 query = self.value(args[1])
-                df = text_ops.bm25_scored(df, column, query, out, corpus.withColumnRenamed(c[-1], column) if column != c[-1] else corpus)
+                key, stored = self.stored(scope, c[0] if scope.match else "", coll, [c[-1]])
+                df = text_ops.bm25_scored(df, column, query, out, corpus.withColumnRenamed(c[-1], column) if column != c[-1] else corpus, stored, key)
                 if name == "BM25_NORM":
                     df = df.withColumn(out, text_ops.bm25_norm(F.col(out), float(self.value(args[2])) if len(args) > 2 else 1.0))
             else:
@@ -367,7 +368,8 @@ class Lowering:
                 if name == "SEARCH":
                     self.search_text = query
                     typo = next((a[1] for a in args if a[0] == "typo"), None)
-                    df = text_ops.search_matched(df, names, query, out, typo, corpus.withColumnsRenamed(dict(zip(fields, names))) if names != fields else corpus)
+                    key, stored = self.stored(scope, var, coll, fields)
+                    df = text_ops.search_matched(df, names, query, out, typo, corpus.withColumnsRenamed(dict(zip(fields, names))) if names != fields else corpus, stored, key)
                 else:
                     df = text_ops.search_scored(df, names, query, out)
             self.made[e_key(e)] = out
@@ -375,6 +377,11 @@ class Lowering:
 
     search_text: str | None = None
 
+    def stored(self, scope: Scope, var: str, coll: str | None, fields: list[str]):
+        """The column with the keys of a collection's rows, and its stored index if there is one and the keys are there."""
+        key = scope.columns.get((var, "_key") if scope.match else ("_key",), (None,))[0]
+        return (key, self.catalog.postings(coll, fields)) if key and coll and coll != "ALL" else ("_key", None)
+
     def corpus(self, scope: Scope, var: str) -> tuple[str, DataFrame]:
         if var not in scope.corpora:
             raise QueryError(f"no collection for {var}")

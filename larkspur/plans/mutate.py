@@ -465,6 +465,9 @@ class Mutation:
                 if self.catalog.collection(coll).columns and f not in df.columns:
                     raise QueryError(f"{coll} has no column {f}")
             self.catalog.indexes[title or f"{coll}_{'_'.join(fields)}_{method}"] = (coll, method, tuple(fields))
+            if method in ("bm25", "search"):
+                self.catalog.kept.add((coll, tuple(fields)))
+                self.catalog.postings(coll, fields)
 
     def materialised(self, body: str) -> DataFrame:
         df = lower_query(self.catalog, body)
@@ -549,10 +552,14 @@ class Mutation:
         for t, parts in self.catalog.edges.items():
             self.catalog.edges[t] = [EdgePart(new if q.source == old else q.source, new if q.target == old else q.target, q.df, q.sound) for q in parts]
         self.catalog.indexes = {n: (new if c == old else c, m, f) for n, (c, m, f) in self.catalog.indexes.items()}
+        self.catalog.kept = {(new if c == old else c, f) for c, f in self.catalog.kept}
 
     def drop(self, p: Parser) -> None:
         what = p.next().word
-        if what == "REINDEX":  # indexes are names here: statistics are taken by each query
+        if what == "REINDEX":  # stored ones are built anew, the others are names
+            for name, fields in self.catalog.kept:
+                self.catalog.collection(name).postings.pop(fields, None)
+                self.catalog.postings(name, fields)
             return
         if what == "REFRESH":
             p.need_word("MATERIALIZED", "VIEW")
@@ -576,6 +583,7 @@ class Mutation:
             del self.catalog.collections[name]
             self.catalog.edges = {t: q for t, parts in self.catalog.edges.items() if (q := [x for x in parts if name not in (x.source, x.target)])}
             self.catalog.indexes = {n: i for n, i in self.catalog.indexes.items() if i[0] != name}
+            self.catalog.kept = {k for k in self.catalog.kept if k[0] != name}
             self.changes.collections.add(name)
             return
         if kind != "INDEX":
@@ -596,7 +604,8 @@ class Mutation:
         if not gone and not maybe:
             raise QueryError("no such index")
         for n in gone:
-            del self.catalog.indexes[n]
+            coll, _, fields = self.catalog.indexes.pop(n)
+            self.catalog.kept.discard((coll, fields))
 
 
 def split_slug(text: str) -> tuple[str, str]:

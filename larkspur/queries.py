@@ -266,7 +266,7 @@ ask("hybrid_place_rank", "SELECT c_custkey FROM places WHERE ST_DWithin(geometry
 
 @call("hybrid_rrf", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['license', 'version'])}, l AS (SELECT k, row_number() OVER (ORDER BY score DESC, cast(k AS varchar)) AS r FROM (SELECT * FROM b WHERE score > 0 ORDER BY score DESC, cast(k AS varchar) LIMIT 50)), v AS (SELECT vec_id AS k, row_number() OVER (ORDER BY d, cast(vec_id AS varchar)) AS r FROM (SELECT vec_id, {_COS} AS d FROM embeddings ORDER BY d, cast(vec_id AS varchar) LIMIT 50)) SELECT cast(k AS varchar) AS _key, round(sum(p), 4) AS score FROM (SELECT k, 1.0 / (60 + r) AS p FROM l UNION ALL SELECT k, 2.0 / (60 + r) FROM v) GROUP BY k")
 def _(e: Engine) -> DataFrame:
-    lexical = text_ops.bm25_search(e.catalog.nodes("documents"), "text", "license version", 50)
+    lexical = e.bm25_search("documents", "text", "license version", 50)
     dense = vector_ops.nearest(e.catalog.nodes("embeddings"), "embedding", _Q, 50)
     return relational.reciprocal_rank_fusion([(lexical, F.desc("score"), 1.0), (dense, F.asc("_distance"), 2.0)], "_key")
 
