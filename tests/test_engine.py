@@ -302,6 +302,47 @@ def test_bm25_and_search_against_python(spark):
     assert [r["_key"] for r in e.bm25_search("d", "body", "language", 5).collect()] == ["2"]
 
 
+def test_stored_text_indexes_give_the_same_answers(spark):
+    from larkspur.operators import postings
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    plain, kept = (Engine(spark).register("d", docs, "doc_id") for _ in range(2))
+    plain.index("d", "bm25", "text").index("d", "search", "source", "text")
+    kept.execute("CREATE INDEX ON d USING bm25 (text)")
+    kept.execute("CREATE INDEX ON d USING search (source, text)")
+    asked = [
+        "SELECT _key, ROUND_(BM25(text, 'the license than apache')) AS s FROM d WHERE BM25(text, 'the license than apache') > 0.5",
+        "SELECT _key, ROUND_(BM25_NORM(text, 'license version')) AS s FROM d",
+        "SELECT _key FROM d WHERE SEARCH('license apache')", "SELECT _key FROM d WHERE SEARCH('licensf')", "SELECT _key FROM d WHERE SEARCH('licensf apache', typo => 0)",
+        "SELECT _key FROM d WHERE SEARCH('src1')", "SELECT _key FROM d WHERE SEARCH('zzzzzz nothing')", "SELECT _key FROM d ORDER BY BM25(text, 'license') DESC LIMIT 7",
+    ]
+
+    def agree():
+        for q in asked:
+            a, b = (sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in e.sql(q.replace("ROUND_", "")).collect()) for e in (plain, kept))
+            assert a == b, q
+        a, b = ([(r["_key"], round(r["score"], 6)) for r in e.bm25_search("d", "text", "license version", 9).collect()] for e in (plain, kept))
+        assert a == b and len(a) > 1
+
+    agree()
+    index = kept.catalog.postings("d", ["text"])
+    assert index.rows == docs.count() and "PushedFilters: [In(term" in index.table.filter("term in ('license', 'apache')")._jdf.queryExecution().toString()
+    again = Engine(spark).register("d", docs, "doc_id").index("d", "bm25", "text", stored=True)
+    assert again.catalog.postings("d", ["text"]) is index  # the same files: built once
+    for e in (plain, kept):
+        e.execute("UPDATE d SET text = 'license license of nothing' WHERE _key = '3'")
+        e.execute("DELETE FROM d WHERE _key = '5'")
+        e.execute("INSERT INTO d (_key, text) VALUES ('900', 'apache version')")
+    assert kept.catalog.postings("d", ["text"]) is not index
+    agree()
+    kept.execute("DROP INDEX ON d USING bm25 (text)")
+    assert kept.catalog.postings("d", ["text"]) is None
+    twice = spark.createDataFrame([("a", "one word"), ("a", "one word")], "_key string, text string")
+    assert postings.build(twice, ["text"]) is None  # without one row a key the texts are read
+    e = Engine(spark).register("t", twice).index("t", "bm25", "text", stored=True)
+    assert e.sql("SELECT _key FROM t WHERE BM25(text, 'word') > 0").count() == 2
+
+
 def test_vectors(spark):
     rows = [("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [0.9, 0.1], 3), ("z", [0.0, 0.0], 4), ("n", None, 5)]
     e = Engine(spark).register("v", spark.createDataFrame(rows, "_key string, emb array<float>, n int"))
