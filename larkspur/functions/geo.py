@@ -172,14 +172,6 @@ def _nearest_vertex(lons: pd.Series, lats: pd.Series, lon: pd.Series, lat: pd.Se
     return pd.Series(d).groupby(row).min().reindex(range(len(sizes)))
 
 
-@F.pandas_udf(DoubleType())
-def _path_length(lons: pd.Series, lats: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(lons, lats):
-        out.append(None if x is None else float(vincenty_m(y[:-1], x[:-1], y[1:], x[1:]).sum()) if len(x) > 1 else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
 def _axes(v: Column) -> tuple[Column, Column]:
     return F.transform(v, lambda p: p.lon), F.transform(v, lambda p: p.lat)
 
@@ -248,7 +240,10 @@ def length(g: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _leg_lengths(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None else float(vincenty_m(b, a, d, c).sum()) if len(a) else 0.0 for a, b, c, d in zip(lon1, lat1, lon2, lat2)], dtype="float64")
+    sizes = np.fromiter((0 if x is None else len(x) for x in lon1), np.int64, len(lon1))
+    joined = [np.concatenate([x for x in c if x is not None and len(x)]) if sizes.sum() else np.zeros(0) for c in (lat1, lon1, lat2, lon2)]
+    metres = np.bincount(np.repeat(np.arange(len(sizes)), sizes), vincenty_m(*joined), len(sizes)) if sizes.sum() else np.zeros(len(sizes))
+    return pd.Series(metres).where(lon1.notna().reset_index(drop=True))
 
 
 def perimeter(g: Column) -> Column:

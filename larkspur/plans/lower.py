@@ -390,8 +390,13 @@ class Lowering:
     def keyed(self, df: DataFrame, name: str, conds: list[tuple]) -> DataFrame:
         """df with conditions on _key also said of the number it was made from, which the scan can use."""
         number_ = self.catalog.collection(name).number
+        plain = lambda x: x[0] in ("lit", "param") and str(self.value(x)).isdigit() and str(int(self.value(x))) == str(self.value(x))
         for c in conds if number_ else []:
-            if c[1] == "=" and c[3][0] in ("lit", "param") and str(self.value(c[3])).isdigit() and str(int(self.value(c[3]))) == str(self.value(c[3])):
+            if c[0] == "in":
+                if all(plain(x) for x in c[2]):
+                    df = df.filter(F.col(f"`{number_}`").isin([int(self.value(x)) for x in c[2]]))
+                continue
+            if c[1] == "=" and plain(c[3]):
                 df = df.filter(F.col(f"`{number_}`") == int(self.value(c[3])))
         return df
 
@@ -408,7 +413,7 @@ class Lowering:
         df = self.catalog.nodes(src.name) if src.name else self.catalog.every()
         scope = table_scope(df, name, src.alias)
         if src.name:
-            df = self.keyed(df, src.name, [c for c in conjuncts(s.where) if is_key(c)])
+            df = self.keyed(df, src.name, [c for c in conjuncts(s.where) if is_key(c) or c[0] == "in" and not c[3] and c[2] and c[1][0] == "col" and c[1][1][-1] == "_key"])
         df = self.filtered(df, scope, conjuncts(s.where))
         return self.finish(s, df, scope)
 

@@ -409,6 +409,7 @@ def test_keys_made_from_numbers_reach_the_scan(spark, tmp_path):
     assert "EqualTo(k,17)" in e.explain("SELECT v FROM t WHERE _key = '17'") and e.sql("SELECT v FROM t WHERE _key = '17'").first()[0] == 34
     assert "EqualTo(k,17)" in e.explain("SELECT y._key FROM MATCH (x:t)-[:up]->(y:t) WHERE x._key = '17'")
     assert e.sql("SELECT v FROM t WHERE _key = '017'").count() == 0
+    assert "In(k, [17,4])" in e.explain("SELECT v FROM t WHERE _key IN ('17', '4')") and e.sql("SELECT v FROM t WHERE _key IN ('17', '4', '017')").count() == 2
     assert "isFinalPlan=true" in e.explain("SELECT v, COUNT(*) AS n FROM t GROUP BY v", analyze=True)
     e.execute("INSERT INTO t (_key, v) VALUES ('17', 5), ('500', 6)")
     assert [e.sql(f"SELECT v FROM t WHERE _key = '{k}'").first()[0] for k in (17, 500)] == [5, 6]
