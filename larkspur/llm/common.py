@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..scratch import folder, written  # noqa: F401
 from ..session import ready  # noqa: F401
 
+
 def load(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
     """A table; spread deals the rows of one that lies in fewer pieces than there are cores, for work in Python.
 
@@ -112,6 +114,18 @@ def key_bits(things: int) -> int:
     return min(64, max(1, things).bit_length() + SPARE_BITS)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Within, Arrow batches end at `size`: for rows of megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """df as a table in the shared folder, in buckets of key: joined by key it stays where it is."""
     spark = df.sparkSession

@@ -5,12 +5,14 @@ a task reads form chunks of about CHUNK_WORDS tokens. A chunk's token streams ar
 its own after each, and their suffixes are sorted by their first MIN_RUN tokens (prefix doubling over tokens that are
 told apart by host): a suffix array, in which equal prefixes stand in one run. Each run of a chunk is then merged with
 those of all other chunks: its host and tokens as a hash, with whether one page or several have it, goes to a part by
-ranges of the hash, and the part answers whether two distinct pages of the corpus have it. So a host of any size is
+ranges of the hash, and the part answers whether two distinct pages of the corpus have it. That goes in two rounds: in
+the first hashes are short (SHORT_BITS more bits than the number of suffixes has), and only what is then shared by
+truth or chance is asked again with long ones (SPARE_BITS more). So a host of any size is
 spread over as many tasks as its pages, no task holds a host, and no page crosses the network.
 
 Every repeated substring of MIN_RUN tokens or more is covered by such suffixes, so marking MIN_RUN tokens from each
 finds exactly all of them. Covered tokens are boilerplate and go; the runs between them stay. Within a chunk tokens are
-compared; across chunks hashes are, with SPARE_BITS more bits than the corpus' suffixes need.
+compared, across chunks long hashes.
 
 Defined results: pages of one host with equal token streams are one page, so a copy doesn't empty its original, and
 repeated rows all get the same text. NULL and empty html have the text ''. A NULL or broken url belongs to
@@ -38,8 +40,9 @@ from .words import Types, word_hash
 MIN_RUN = 8
 CHUNK_WORDS = 1_500_000
 PART_KEYS = 2_000_000
+SHORT_BITS = 8
 SCHEMA = "page_id bigint, host string, text string, n_tokens int, n_removed int"
-CHUNK = "chunk bigint, ids array<bigint>, hosts array<string>, contents array<binary>, tokens bigint, texts binary"
+CHUNK = "chunk bigint, ids array<bigint>, hosts array<string>, contents array<binary>, tokens bigint, sizes array<int>, types binary, words binary"
 
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z!?][^\s>/]*)[^>]*>")
@@ -87,16 +90,18 @@ def suffix_array(ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(first)
 
 
-def _kept(text: str, gone: np.ndarray) -> str:
-    return " ".join(w for w, g in zip(text.split(" "), gone) if not g) if gone.any() else text
-
-
 def _chunks(pages: DataFrame) -> DataFrame:
-    """Pages in chunks: ids, hosts, digests of the visible texts, and the texts, compressed together."""
+    """Pages in chunks: ids, hosts, digests of the visible texts, and their tokens' numbers, most frequent first."""
 
     def row(number, ids, hosts, texts, tokens):
-        contents = [xxhash.xxh3_128_digest(t) for t in texts]
-        cells = number, ids, hosts, contents, tokens, _packed(texts)
+        contents, types = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts], Types()
+        streams = [types.ids(t) for t in texts]
+        flat = np.concatenate(streams)
+        by_use = np.argsort(-np.bincount(flat, minlength=len(types)), kind="stable")
+        rank = np.empty(len(types), np.uint32)
+        rank[by_use] = np.arange(len(types), dtype=np.uint32)
+        names = list(types)
+        cells = number, ids, hosts, contents, tokens, [len(s) for s in streams], _packed([names[i] for i in by_use.tolist()]), squeezed(rank[flat])
         return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(cells, arrow)], schema=arrow)
 
     def run(batches):
@@ -135,11 +140,10 @@ class Suffixes:
     """A chunk's suffix array: runs of suffixes of equal first tokens, and a key for each run that has whole prefixes."""
 
     def __init__(self, row: dict, min_run: int, bits: int):
-        self.texts, types = _texts(row["texts"]), Types()
-        streams = [types.ids(t) for t in self.texts]
-        self.sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+        self.sizes, self.words = np.array(row["sizes"], np.int64), opened(row["words"], np.uint32)
+        self.types = _texts(row["types"]) if len(self.words) else []
         names, host = np.unique(row["hosts"], return_inverse=True)
-        own = np.concatenate(streams).astype(np.int64) * len(names) + np.repeat(host, self.sizes)
+        own = self.words.astype(np.int64) * len(names) + np.repeat(host, self.sizes)
         _, own = np.unique(own, return_inverse=True)
         top = int(own.max()) + 1 if len(own) else 0
         begin = np.cumsum(self.sizes + 1) - self.sizes - 1
@@ -147,9 +151,9 @@ class Suffixes:
         inside = np.ones(len(ids), bool)
         inside[begin + self.sizes] = False
         ids[inside] = own
-        ids[~inside] = top + np.arange(len(streams))
+        ids[~inside] = top + np.arange(len(self.sizes))
         self.begin, self.length, self.min_run = begin, len(ids), min_run
-        page = np.repeat(np.arange(len(streams)), self.sizes + 1)
+        page = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
         whole = np.arange(len(ids)) - begin[page] + min_run <= self.sizes[page]  # prefixes that end within the page
         order, start = suffix_array(ids, min_run)
         ok = whole[order[start]]
@@ -157,7 +161,7 @@ class Suffixes:
         order, counts = order[np.repeat(ok, counts)], counts[ok]
         # keys of the runs' prefixes: host, then each token
         hashes = np.zeros(len(ids), np.uint64)
-        hashes[inside] = word_hash(list(types))[np.concatenate(streams)] if len(types) else 0
+        hashes[inside] = word_hash(self.types)[self.words] if self.types else 0
         first = order[np.cumsum(counts) - counts]
         x = word_hash([str(n) for n in names], 77)[host[page[first]]] if len(first) else np.zeros(0, np.uint64)
         for j in range(min_run):
@@ -179,14 +183,33 @@ class Suffixes:
         lo, hi = np.minimum.reduceat(least, start), np.maximum.reduceat(most, start)
         return np.where(hi < 0, 0, np.where(lo == hi, 1, 2)).astype(np.uint8)
 
+    def asked(self, n: np.ndarray, bits: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some runs: their distinct keys of so many bits, the pages of each (2 for more), and each run's place there."""
+        low = np.uint64(64 - bits)
+        keys, at = np.unique(self.keys[among] >> low << low, return_inverse=True)
+        return keys, np.minimum(np.bincount(at, n[among], len(keys)), 2).astype(np.uint8), at
+
+    def told(self, bits: int, among: np.ndarray, answers: list) -> np.ndarray:
+        """Which of some runs are shared, by the parts' answers."""
+        out = np.zeros(len(self.keys), bool)
+        if among.any():
+            _, _, at = self.asked(np.zeros(len(self.keys)), bits, among)
+            out[among] = np.concatenate([np.unpackbits(opened(a["shared"], np.uint8), count=a["size"]) for a in answers]).astype(bool)[at]
+        return out
+
     def kept(self, shared: np.ndarray) -> tuple[list[str], list[int]]:
         """Each page's text without the runs that are shared, and how many tokens went."""
         hits = self.order[np.repeat(shared, self.counts)]
         marked = np.zeros(self.length + self.min_run, bool)
         for j in range(self.min_run):
             marked[hits + j] = True
-        gone = [marked[b : b + n] for b, n in zip(self.begin, self.sizes)]
-        return [_kept(t, g) for t, g in zip(self.texts, gone)], [int(g.sum()) for g in gone]
+        names, texts, gone, lo = np.array([*self.types, ""], object), [], [], 0
+        for b, n in zip(self.begin.tolist(), self.sizes.tolist()):
+            stay = ~marked[b : b + n]
+            texts.append(" ".join(names[self.words[lo : lo + n][stay]].tolist()))
+            gone.append(n - int(stay.sum()))
+            lo += n
+        return texts, gone
 
 
 def _copies(chunks: DataFrame) -> DataFrame:
@@ -201,24 +224,25 @@ def extracted(pages: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(page_id, host, text, n_tokens, n_removed) of each page; text is what is left, n_tokens counts before."""
     common.ready(pages.sparkSession)
     chunks = common.written_by(_chunks(pages), "chunks", "chunk")
-    tokens, pieces = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
-    parts, bits = max(1, ceil(tokens / PART_KEYS)), key_bits(tokens)
-    low = np.uint64(64 - bits)
-    muted = common.written(_copies(chunks), "muted")
-
-    def ask(batch):
-        out = {"part": [], "chunk": [], "keys": [], "n": []}
-        for r in batch.to_pylist():
-            s = Suffixes(r, min_run, bits)
-            n = s.pages(r["muted"] or [])
-            order = np.argsort(s.keys, kind="stable")
-            keys, n = s.keys[order], n[order]
-            borders = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else []
-            for p, (a, b) in enumerate(zip([0, *borders], [*borders, len(keys)])):
-                if a < b:
-                    for c, x in zip(out, (p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0)) >> low), squeezed(n[a:b]))):
-                        out[c].append(x)
-        return out
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    parts = max(1, ceil(tokens / PART_KEYS))
+    short, long = min(64, key_bits(tokens) - common.SPARE_BITS + SHORT_BITS), key_bits(tokens)
+
+    def ask(bits: int, first: bool):
+        def run(batch):
+            out = {"part": [], "chunk": [], "keys": [], "n": []}
+            for r in batch.to_pylist():
+                s = Suffixes(r, min_run, long)
+                among = np.ones(len(s.keys), bool) if first else s.told(short, np.ones(len(s.keys), bool), r["answers"])
+                keys, n, _ = s.asked(s.pages(r["muted"] or []), bits, among)
+                borders = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts)) if parts > 1 else []
+                for p, (a, b) in enumerate(zip([0, *borders], [*borders, len(keys)])):
+                    if a < b:
+                        for c, x in zip(out, (p, r["chunk"], squeezed(np.diff(keys[a:b], prepend=np.uint64(0)) >> np.uint64(64 - bits)), squeezed(n[a:b]))):
+                            out[c].append(x)
+            return out
+
+        return run
 
     def merge(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(opened(k, np.uint64), dtype=np.uint64) for k in table.column("keys").to_pylist()]
@@ -230,26 +254,31 @@ def extracted(pages: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         sizes = pa.array([len(k) for k in keys], pa.int32())
         return table.select(["chunk", "part"]).append_column("size", sizes).append_column("shared", pa.array(cells, pa.binary()))
 
+    def answered(df: DataFrame, bits: int, first: bool) -> DataFrame:
+        asked = common.map_arrow(df, ask(bits, first), "part int, chunk bigint, keys binary, n binary", rows=1)
+        told = asked.groupBy("part").applyInArrow(merge, "chunk bigint, part int, size int, shared binary")
+        told = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "shared"))).alias("answers"))
+        return common.written(told, "answers")
+
     # chunks stay where they are: what they are joined with goes to them
-    asked = common.map_arrow(common.joined_by(chunks, muted, "chunk").select("chunk", "hosts", "texts", "muted"), ask, "part int, chunk bigint, keys binary, n binary", rows=1)
-    answers = asked.groupBy("part").applyInArrow(merge, "chunk bigint, part int, size int, shared binary")
-    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "size", "shared"))).alias("answers"))
+    slim = chunks.select("chunk", "hosts", "sizes", "types", "words")
+    rows = common.joined_by(slim, common.written(_copies(chunks), "muted"), "chunk")
+    once = answered(rows, short, True)
+    twice = answered(common.joined_by(rows, once, "chunk"), long, False).withColumnRenamed("answers", "again")
 
     def cut(batch):
         out = {f.name: [] for f in arrow}
         for r in batch.to_pylist():
-            s = Suffixes(r, min_run, bits)
-            shared = np.zeros(len(s.keys), bool)
-            if len(s.keys):
-                bits_ = [np.unpackbits(opened(a["shared"], np.uint8), count=a["size"]) for a in r["answers"]]
-                shared[np.argsort(s.keys, kind="stable")] = np.concatenate(bits_).astype(bool)
-            texts, gone = s.kept(shared)
+            s = Suffixes(r, min_run, long)
+            maybe = s.told(short, np.ones(len(s.keys), bool), r["answers"])
+            texts, gone = s.kept(s.told(long, maybe, r["again"]))
             for c, x in zip(out, (r["ids"], r["hosts"], texts, s.sizes.tolist(), gone)):
                 out[c] += x
         return out
 
     arrow = common.arrow_schema(SCHEMA)
-    return common.map_arrow(common.joined_by(chunks, common.written(answers, "answers"), "chunk").select("chunk", "ids", "hosts", "texts", "answers"), cut, SCHEMA, rows=1)
+    whole = common.joined_by(common.joined_by(chunks.drop("contents"), once, "chunk"), twice, "chunk")
+    return common.map_arrow(whole.select("chunk", "ids", "hosts", "sizes", "types", "words", "answers", "again"), cut, SCHEMA, rows=1)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
