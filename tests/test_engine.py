@@ -343,6 +343,65 @@ def test_stored_text_indexes_give_the_same_answers(spark):
     assert e.sql("SELECT _key FROM t WHERE BM25(text, 'word') > 0").count() == 2
 
 
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    import uuid
+
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, group)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for job in sc.statusTracker().getJobIdsForGroup(group):
+        for stage in sc.statusTracker().getJobInfo(job).stageIds:
+            try:
+                total += sc._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteBytes()
+            except Exception:  # skipped
+                pass
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return total
+
+
+def test_a_text_index_is_built_without_moving_its_postings(spark):
+    from larkspur.operators import postings
+
+    docs = spark.range(0, 800, 1, 8).selectExpr("cast(id as string) AS _key", "array_join(transform(sequence(0, 499), i -> concat('word', (i * (id + 1)) % 2003)), ' ') AS text")
+    size = docs.selectExpr("sum(length(text))").first()[0]
+    made = []
+    assert shuffled(spark, lambda: made.append(postings.build(docs, ["text"]))) < size / 10
+    index = made[0]
+    assert index.table.groupBy("term", "key").count().filter("count > 1").count() == 0
+    assert index.table.selectExpr("sum(tf)").first()[0] == 800 * 500 and index.mean == 500
+
+
+def test_text_index_in_small_segments_and_with_many_near_terms(spark, monkeypatch):
+    from larkspur.operators import postings
+
+    texts = ["lantern lanterns", "lantern", "lanternz apple", "lenterns apple apple", None, "", "apple " * 50, "lanterna", "x"]
+    rows = [(str(i), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "_key string, text string").coalesce(1)
+    monkeypatch.setattr(postings, "CHUNK", 3)
+    parts = list(postings._segments(iter([_tokens_of(texts)])))
+    assert [sorted(b["term"].to_pylist()) for b in parts] == [b["term"].to_pylist() for b in parts] and len(parts) > 3
+    assert sorted(r for b in parts for r in zip(*(b[c].to_pylist() for c in ("term", "key", "tf", "dl")))) == [
+        ("apple", "2", 1, 2), ("apple", "3", 2, 3), ("apple", "6", 50, 50), ("lantern", "0", 1, 2), ("lantern", "1", 1, 1), ("lanterna", "7", 1, 1), ("lanterns", "0", 1, 2), ("lanternz", "2", 1, 2), ("lenterns", "3", 1, 3),
+    ]
+    index = postings.build(docs, ["text"])
+    for named in (500, 1):
+        monkeypatch.setattr(postings, "NAMED", named)
+        found = lambda terms, edits: sorted(r[0] for r in index.matching(terms, edits).collect())
+        assert found(["lanternx"], [1]) == ["0", "1", "2", "7"]
+        assert found(["lanternx", "apple"], [1, 1]) == ["2"] and found(["apple", "lanternx"], [1, 2]) == ["2", "3"]
+        assert found(["lanternx", "nothing"], [1, 1]) == [] and found(["lanternx"], [0]) == []
+
+
+def _tokens_of(texts):
+    import pyarrow as pa
+
+    tokens = [[t for t in (x or "").split() if len(t) > 2] for x in texts]
+    return pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(tokens, pa.list_(pa.string()))], ["key", "t"])
+
+
 def test_vectors(spark):
     rows = [("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [0.9, 0.1], 3), ("z", [0.0, 0.0], 4), ("n", None, 5)]
     e = Engine(spark).register("v", spark.createDataFrame(rows, "_key string, emb array<float>, n int"))
