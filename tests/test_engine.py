@@ -402,6 +402,19 @@ def _tokens_of(texts):
     return pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(tokens, pa.list_(pa.string()))], ["key", "t"])
 
 
+def test_search_score_of_a_long_text_takes_each_token_once(spark):
+    import time
+
+    text = "rust " + "filler words " * 20_000 + "langage"
+    df = spark.createDataFrame([("1", text)], "_key string, text string")
+    e = Engine(spark).register("d", df).index("d", "search", "text")
+    score = lambda: e.sql("SELECT SEARCH_SCORE('rust language') AS s FROM d").first()[0]
+    score()
+    t = time.time()
+    assert score() == pytest.approx(1e12 + 0.75e9 + 1e6 / (1 + 40_001 // 8) + 1e3 + 2 / 40_002, abs=1)
+    assert time.time() - t < 5
+
+
 def test_vectors(spark):
     rows = [("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [0.9, 0.1], 3), ("z", [0.0, 0.0], 4), ("n", None, 5)]
     e = Engine(spark).register("v", spark.createDataFrame(rows, "_key string, emb array<float>, n int"))
