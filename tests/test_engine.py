@@ -415,6 +415,26 @@ def test_search_score_of_a_long_text_takes_each_token_once(spark):
     assert time.time() - t < 5
 
 
+def test_reindex_of_one_collection_leaves_the_others(spark):
+    docs = spark.createDataFrame([("a", "one word"), ("b", "two words")], "_key string, text string")
+    e = Engine(spark).register("d", docs).register("other", docs)
+    for c in ("d", "other"):
+        e.execute(f"CREATE INDEX ON {c} USING bm25 (text)")
+    e.execute("CREATE INDEX ON d USING search (_key, text)")
+    built = lambda: [e.catalog.postings(c, f) for c, f in (("d", ["text"]), ("d", ["_key", "text"]), ("other", ["text"]))]
+    first = built()
+    e.catalog.collection("d").postings.clear()
+    e.catalog.collection("other").postings.clear()
+    e.execute("REINDEX other")
+    assert not e.catalog.collection("d").postings and e.catalog.collection("other").postings
+    e.execute("REINDEX ON d USING bm25 (text)")
+    assert list(e.catalog.collection("d").postings) == [("text",)]
+    e.execute("REINDEX")
+    assert len(e.catalog.collection("d").postings) == 2 and all(first)
+    with pytest.raises(QueryError):
+        e.execute("REINDEX nowhere")
+
+
 def test_vectors(spark):
     rows = [("a", [1.0, 0.0], 1), ("b", [0.0, 1.0], 2), ("c", [0.9, 0.1], 3), ("z", [0.0, 0.0], 4), ("n", None, 5)]
     e = Engine(spark).register("v", spark.createDataFrame(rows, "_key string, emb array<float>, n int"))
