@@ -538,3 +538,27 @@ def test_answers_do_not_depend_on_layout(spark, chain):
         spark.conf.set(k, v)
         assert sorted(r[:] for r in chain.sql(q).collect()) == want
         spark.conf.set(k, old)
+
+
+def test_nearest_join_keeps_near_rows_beside_unusable_ones(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [nan, 1.0]), (4, None)]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query string, vector array<double>")
+    assert [tuple(r) for r in vector_ops.nearest_join(df, "v", asked, 2, "l2", "k").collect()] == [("q", 1, 0.0)]
+
+
+def test_nearest_join_looks_only_at_rows_nearer_than_the_kth(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r, seen, real = np.random.default_rng(3), [], np.round
+    q, v = r.normal(size=(50, 8)), r.normal(size=(4000, 8))
+    monkeypatch.setattr(np, "round", lambda x, n: (seen.append(x.size), real(x, n))[1])
+    schema = pa.schema([("query", pa.string()), ("k", pa.int64()), ("distance", pa.float64())])
+    shared = type("S", (), {"value": ([str(i) for i in range(50)], q)})
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 500)), pa.array(v[a : a + 500].tolist())], ["k", "_v"]) for a in range(0, 4000, 500))
+    got = pa.Table.from_batches(vector_ops._nearest_of(shared, 3, "l2", "k", schema)(batches)).to_pylist()
+    want = [np.argsort(((v - x) ** 2).sum(1))[:3].tolist() for x in q]
+    assert [[g["k"] for g in got if g["query"] == str(i)] for i in range(50)] == want
+    assert sum(seen) < 50 * 4000 / 20
